@@ -50,7 +50,8 @@ def build_index(documents: DataFrame, terms: DataFrame | None = None) -> DataFra
     terms (term, term_id) restricts the index to the terms that will ever be asked for; without it every term is
     stored and numbered by its hash.
     """
-    each = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(_END)))).alias("pos", "term"))
+    numbered = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.concat(words(F.col("text")), F.array(F.lit(_END))).alias("words"))
+    each = numbered.select("row", "doc_id", F.posexplode("words").alias("pos", "term"))
     if terms is None:
         found = each.select("row", "doc_id", F.when(F.col("term") == _END, F.lit(-1)).otherwise(F.shiftrightunsigned(F.xxhash64("term"), 1)).alias("term_id"), "pos")
     else:
