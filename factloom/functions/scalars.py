@@ -9,7 +9,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Strongest first. Fixed values.
 RESOLUTIONS = ("exact", "scoped", "name_match")
 #: Fixed values, in declaration order.
-REF_KINDS = ("call", "type", "import", "read", "write", "extends", "implements")
+REF_KINDS = ("call", "type", "import", "assignment", "read", "write", "unknown")
 EXACT_CASE_KINDS = ("const", "type_alias")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars as S
 
 #: Fixed values, best first.
-REASONS = ("target", "type", "callee", "caller", "test", "import", "parent", "sibling")
+REASONS = ("target", "type", "callee", "test", "caller", "import", "parent", "second_degree")
 CANDIDATE_CAP = 1000
 EXAMINED_CAP = 10_000
 
@@ -37,13 +37,21 @@ def neighbours(symbols: DataFrame, uses: DataFrame, bindings: DataFrame, targets
     """(target, id, reason, resolution): callees and types a target uses, callers (tests by test_file), its parent."""
     linked = uses.join(bindings, "use_id").select("use_id", "file", "ref_kind", "containing_symbol", "target_id", "resolution")
     wanted = targets.select(F.col("id").alias("target"))
-    down = linked.join(wanted, F.col("containing_symbol") == F.col("target")).select("target", F.col("target_id").alias("id"), F.when(F.col("ref_kind").isin("type", "extends", "implements"), "type").otherwise("callee").alias("reason"), "resolution")
+    down = linked.join(wanted, F.col("containing_symbol") == F.col("target")).select("target", F.col("target_id").alias("id"), F.when(F.col("ref_kind") == "type", "type").otherwise("callee").alias("reason"), "resolution")
     test = test_file(F.col("file")) if test_file else F.lit(False)
     up = linked.join(wanted, F.col("target_id") == F.col("target")).where("containing_symbol IS NOT NULL").select("target", F.col("containing_symbol").alias("id"), F.when(test, "test").otherwise("caller").alias("reason"), "resolution")
     parent = symbols.join(wanted, F.col("id") == F.col("target")).where("parent_id IS NOT NULL").select("target", F.col("parent_id").alias("id"), F.lit("parent").alias("reason"), F.lit("exact").alias("resolution"))
     return down.unionByName(up).unionByName(parent).where("id <> target")
 
 
+def import_candidates(uses: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(containing_symbol, target_id): what a symbol uses that its file imports."""
+    linked = uses.join(bindings, "use_id").select("file", "ref_kind", "containing_symbol", "target_id")
+    imported = linked.where("ref_kind = 'import'").select("file", "target_id").distinct()
+    used = linked.where("ref_kind <> 'import' AND containing_symbol IS NOT NULL")
+    return used.join(imported, ["file", "target_id"], "left_semi").select("containing_symbol", "target_id").distinct()
+
+
 def weakest(a, b):
     """The weaker of two resolutions."""
     return F.when(S.tier_rank(a) >= S.tier_rank(b), a).otherwise(b)
@@ -62,7 +70,7 @@ def traversal(symbols: DataFrame, uses: DataFrame, bindings: DataFrame, targets:
         full = ranked.groupBy("target").agg(F.max("rank").alias("n")).where(F.col("n") >= most).select("target")
         seeds = ranked.where("resolution <> 'name_match' AND reason <> 'parent'").join(full, "target", "left_anti").select(F.col("target").alias("_origin"), "id", F.col("resolution").alias("_hop"))
         further = neighbours(symbols, uses, bindings, seeds.select("id").distinct(), test_file)
-        second = further.withColumnRenamed("target", "_seed").join(seeds.withColumnRenamed("id", "_seed"), "_seed").where("id <> _origin").select(F.col("_origin").alias("target"), "id", "reason", weakest(F.col("resolution"), F.col("_hop")).alias("resolution"), F.lit(2).alias("depth"))
+        second = further.withColumnRenamed("target", "_seed").join(seeds.withColumnRenamed("id", "_seed"), "_seed").where("id <> _origin").select(F.col("_origin").alias("target"), "id", F.lit("second_degree").alias("reason"), weakest(F.col("resolution"), F.col("_hop")).alias("resolution"), F.lit(2).alias("depth"))
         ranked = best_per_symbol(first.unionByName(second).join(facts, "id"))
     return ranked.where(F.col("rank") <= most).select("target", "id", "reason", "resolution", "depth", "rank")
 

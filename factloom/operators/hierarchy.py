@@ -66,6 +66,15 @@ def class_relation(ups: DataFrame, targets: DataFrame) -> DataFrame:
     return each.groupBy("target").agg(F.array_sort(F.collect_set("related")).alias("related"))
 
 
+def nearest_scope(parents: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, name, value) of the nearest scope on the chain from id upward (itself first) with a fact for the name.
+    parents: id, parent_id; facts: scope, name, value, one per (scope, name)."""
+    edges = parents.where("parent_id IS NOT NULL").select(F.col("id").alias("child"), F.lit("parent").alias("relation"), F.col("parent_id").alias("qname"), F.col("parent_id").alias("parent"))
+    chain = ancestors(edges, parents.select("id")).unionByName(parents.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")))
+    seen = chain.join(facts, F.col("ancestor") == F.col("scope"))
+    return seen.groupBy("id", "name").agg(F.min_by("value", "depth").alias("value"))
+
+
 def unrelated(receiver: Column, related: Column, open_: Column) -> Column:
     """A receiver's class excludes a target if it isn't among its relations and nothing unindexed lies between."""
     return receiver.isNotNull() & ~F.array_contains(related, receiver) & ~F.coalesce(open_, F.lit(False))

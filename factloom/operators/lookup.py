@@ -45,6 +45,23 @@ def innermost(symbols: DataFrame, places: DataFrame, bin_lines: int = 256) -> Da
     return a.join(b, strictly, "left_anti").select("file", "line", "id")
 
 
+def containers(symbols: DataFrame, spans: DataFrame, bin_bytes: int = 4096) -> DataFrame:
+    """(file, start_byte, end_byte, id) of the shortest symbol around each span; null id without one. Spans meet symbols by
+    (file, block of bytes); ties go to the later start, then the smaller id."""
+    wide = symbols.select("file", "id", F.col("start_byte").alias("_s"), F.col("end_byte").alias("_e")).withColumn("_block", F.explode(F.sequence(F.floor(F.col("_s") / bin_bytes), F.floor(F.col("_e") / bin_bytes))))
+    at = spans.select("file", "start_byte", "end_byte").distinct().withColumn("_block", F.floor(F.col("start_byte") / bin_bytes))
+    inside = at.join(wide, ["file", "_block"]).where((F.col("_s") <= F.col("start_byte")) & (F.col("end_byte") <= F.col("_e")))
+    best = inside.groupBy("file", "start_byte", "end_byte").agg(F.min_by("id", F.struct(F.col("_e") - F.col("_s"), -F.col("_s"), "id")).alias("id"))
+    return at.drop("_block").join(best, ["file", "start_byte", "end_byte"], "left")
+
+
+def folded_overloads(declarations: DataFrame, by: list[str]) -> DataFrame:
+    """Of declarations with the same keys every implementation (has_body) stays; without one, the first signature."""
+    group = Window.partitionBy(*by)
+    first = F.row_number().over(group.orderBy("start_byte", "id")) == 1
+    return declarations.withColumn("_keep", F.col("has_body") | (~F.bool_or("has_body").over(group) & first)).where("_keep").drop("_keep")
+
+
 def nearest_to_line(symbols: DataFrame, file: str, line: int, most: int = 5) -> DataFrame:
     """qualified_name, distance of the nearest symbols of a file, each name once."""
     here = symbols.where(F.col("file") == file).withColumn("distance", S.line_distance(F.lit(line), F.col("start_line"), F.col("end_line")))

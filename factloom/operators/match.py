@@ -99,14 +99,18 @@ def unique_by(symbols: DataFrame, keys: list[str]) -> DataFrame:
     return symbols.groupBy(*keys).agg(F.count_distinct("id").alias("_n"), F.min("id").alias("id")).where("_n = 1").drop("_n")
 
 
-def form_compatible(kind: Column, ref_kind: Column, has_receiver: Column) -> Column:
-    """Whether a use of this form can name a declaration of this kind at all."""
-    member = kind.isin("method", "property")
-    callable_ = kind.isin("function", "method", "class")
+def form_compatible(kind: Column, ref_kind: Column, has_receiver: Column, in_class: Column | None = None) -> Column:
+    """Whether a PHP use of this form can name a declaration of this kind at all. in_class: the target's parent is class-like.
+    A read of a property may reach a method; kinds and forms that aren't told apart are compatible with all."""
+    in_class = F.lit(False) if in_class is None else in_class
     return (
-        F.when(ref_kind == "call", callable_ & (~has_receiver | (kind == "method")))
-        .when(ref_kind.isin("type", "extends", "implements"), kind.isin("class", "interface", "trait", "enum", "type_alias"))
-        .when(ref_kind.isin("read", "write"), kind.isin("property", "const", "enum") & (~member | has_receiver))
+        F.when(ref_kind.isin("unknown", "assignment"), F.lit(True))
+        .when(kind == "method", ref_kind.isin("call", "read") & has_receiver)
+        .when(kind == "function", ((ref_kind == "call") & ~has_receiver) | (ref_kind == "import"))
+        .when(kind == "property", ref_kind.isin("read", "write") & has_receiver)
+        .when((kind == "const") & in_class, (ref_kind == "read") & has_receiver)
+        .when(kind == "const", ref_kind == "import")
+        .when(kind.isin("class", "interface", "enum"), ref_kind.isin("type", "import"))
         .otherwise(F.lit(True))
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars as S
 from factloom.operators import lookup, match
 
-CLASS_KINDS = ("class", "interface", "trait", "enum")
+CLASS_KINDS = ("class", "interface", "enum")
 TS_TYPE_KINDS = (*CLASS_KINDS, "type_alias")
 
 
@@ -70,8 +70,8 @@ def php_class_names(scope: Scope, names: DataFrame) -> DataFrame:
 
 
 def php_imports(scope: Scope) -> DataFrame:
-    """Class names in type position, after new and in use statements."""
-    typed = scope.uses.where("ref_kind IN ('type', 'extends', 'implements') OR (ref_kind = 'call' AND receiver = 'new')")
+    """Class names in type position, after new, and in use statements."""
+    typed = scope.uses.where("ref_kind = 'type'")
     direct = php_class_names(scope, typed.select("use_id", "file", "namespace", "spelling")).join(scope.unique_classes(), "key").select("use_id", "target_id")
     of_import = scope.uses.where("ref_kind = 'import'").join(scope.imports.select("file", "start_byte", "end_byte", F.col("kind").alias("import_kind"), S.ascii_fold(F.col("target")).alias("key")), ["file", "start_byte", "end_byte"])
     classes = of_import.where("import_kind = 'class'").join(scope.unique_classes(), "key").select("use_id", "target_id")
@@ -98,13 +98,9 @@ def php_functions(scope: Scope) -> DataFrame:
     return first.select("use_id", F.col("t.target_id").alias("target_id"), F.lit("exact").alias("resolution")).where("target_id IS NOT NULL")
 
 
-def _member_kind(ref_kind: Column, spelling: Column) -> Column:
-    return F.when(ref_kind == "call", "method").when(spelling.startswith("$"), "property").otherwise("property")
-
-
 def php_receivers(scope: Scope) -> DataFrame:
     """Members of $this, self and static in the enclosing class, and of a class named before ::."""
-    member = scope.uses.where("receiver IS NOT NULL AND receiver <> 'new' AND ref_kind IN ('call', 'read', 'write')")
+    member = scope.uses.where("receiver IS NOT NULL AND ref_kind IN ('call', 'read', 'write')")
     bare = F.regexp_replace("spelling", "^[$]", "")
     name = F.when(F.col("ref_kind") == "call", S.ascii_fold(F.col("spelling"))).otherwise(bare)
     keyed = member.withColumn("member", name)
@@ -134,7 +130,7 @@ def ts_lexical(scope: Scope) -> DataFrame:
     """Imported names and names of the same file's top level; a name that both import and declare is no answer."""
     imported = _module_imports(scope).join(_exports(scope), ["path", "name"])
     at_import = scope.uses.where("ref_kind = 'import'").join(imported.select("file", "start_byte", "end_byte", "target_id"), ["file", "start_byte", "end_byte"]).select("use_id", "target_id")
-    plain = scope.uses.where("ref_kind <> 'import' AND (receiver IS NULL OR receiver = 'new')").select("use_id", "file", F.col("spelling").alias("alias"))
+    plain = scope.uses.where("ref_kind <> 'import' AND receiver IS NULL").select("use_id", "file", F.col("spelling").alias("alias"))
     names = imported.select("file", "alias", "target_id").unionByName(_exports(scope).select(F.col("path").alias("file"), F.col("name").alias("alias"), "target_id"))
     blocked = scope.imports.select("file", "alias").distinct().join(imported.select("file", "alias"), ["file", "alias"], "left_anti")
     one = names.groupBy("file", "alias").agg(F.count_distinct("target_id").alias("n"), F.min("target_id").alias("target_id")).where("n = 1").join(blocked, ["file", "alias"], "left_anti")
@@ -174,6 +170,6 @@ def resolve_links(symbols: DataFrame, uses: DataFrame, imports: DataFrame, files
 
 def supertype_edges(symbols: DataFrame, uses: DataFrame, bindings: DataFrame) -> DataFrame:
     """edges (child, relation, qname, parent) from extends and implements uses, unresolved ones with their spelling."""
-    named = uses.where("ref_kind IN ('extends', 'implements')").join(bindings.select("use_id", "target_id"), "use_id", "left")
+    named = uses.where("relation IN ('extends', 'implements')").join(bindings.select("use_id", "target_id"), "use_id", "left")
     names = symbols.select(F.col("id").alias("target_id"), "qualified_name")
-    return named.join(names, "target_id", "left").select(F.col("containing_symbol").alias("child"), F.col("ref_kind").alias("relation"), F.coalesce("qualified_name", F.regexp_replace("spelling", r"^\\", "")).alias("qname"), F.col("target_id").alias("parent"))
+    return named.join(names, "target_id", "left").select(F.col("containing_symbol").alias("child"), "relation", F.coalesce("qualified_name", F.regexp_replace("spelling", r"^\\", "")).alias("qname"), F.col("target_id").alias("parent"))

@@ -68,6 +68,34 @@ def task_values(blocks: DataFrame, base: str, other: str) -> DataFrame:
     return blocks.groupBy("task").agg(F.avg(base).alias(base), F.avg(other).alias(other), F.count("*").alias("n"))
 
 
+def estimates(values: DataFrame, base: str, other: str) -> DataFrame:
+    """ratio of the means of task values, difference, n_tasks; the ratio is null where the base is zero."""
+    b, c = F.avg(base), F.avg(other)
+    return values.agg(F.when(b != 0, c / b).alias("ratio"), (c - b).alias("difference"), F.count("*").alias("n_tasks"))
+
+
+def group_estimates(values: DataFrame, group: str, base: str, other: str) -> DataFrame:
+    b, c = F.avg(base), F.avg(other)
+    return values.groupBy(group).agg(F.when(b != 0, c / b).alias("ratio"), (c - b).alias("difference"), F.count("*").alias("n_tasks"))
+
+
+def schedule(tasks: list[str], arms: list[str], trials: int, seed: int) -> list[tuple[int, str, int, str, int]]:
+    """(block, task, trial, arm, place): tasks in order within a trial, the arms of each block in an order drawn by seed."""
+    rng, out = random.Random(seed), []
+    for trial in range(1, trials + 1):
+        for task in tasks:
+            order = arms[:]
+            rng.shuffle(order)
+            block = (trial - 1) * len(tasks) + tasks.index(task)
+            out += [(block, task, trial, arm, place) for place, arm in enumerate(order)]
+    return out
+
+
+def outcome(timed_out, turns, most_turns: int, cost, most_cost, exit_code):
+    """Why a run ended, the first that fits."""
+    return F.when(timed_out, "timeout").when(turns >= most_turns, "max_turns").when(cost >= most_cost, "budget").when(exit_code != 0, "crash").otherwise("completed")
+
+
 def bootstrap_draws(tasks: list[tuple[str, str]], replicates: int, seed: int) -> list[tuple[int, str]]:
     """(replicate, task) of a bootstrap by strata: each stratum draws as many of its tasks as it has, with replacement."""
     rng = random.Random(seed)

@@ -97,5 +97,5 @@ SUPERTYPES_SQL = """ed AS (SELECT 'nation/' || n_nationkey AS child, 'extends' A
 INVENTORY_SQL = """i0 AS (SELECT source || '/' || lang || '/' || doc_id AS path, 'sha256:' || sha256(text) AS content_hash, CASE WHEN strlen(text) > 8000 THEN 'size' WHEN lang = 'es' THEN 'unsupported' ELSE 'ok' END AS parse_status, lang AS language, strlen(text) AS size, doc_id AS mtime_ns FROM documents),
 d1 AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 7 = 2 THEN 'edited ' || text ELSE text END AS text FROM documents WHERE doc_id % 11 <> 3),
 i1 AS (SELECT CASE WHEN doc_id % 13 = 5 THEN 'moved/' ELSE '' END || source || '/' || lang || '/' || doc_id AS path, 'sha256:' || sha256(text) AS content_hash, CASE WHEN strlen(text) > 8000 THEN 'size' WHEN lang = 'es' THEN 'unsupported' ELSE 'ok' END AS parse_status, lang AS language FROM d1)"""
-ATTEMPTS_SQL = """at AS (SELECT (user_id % 40)::VARCHAR AS task, CASE WHEN event_id % 2 = 0 THEN 'b' ELSE 'c' END AS arm, event_id % 20 AS trial, event_id % 3 % 2 + 1 AS attempt,
+ATTEMPTS_SQL = """att AS (SELECT (user_id % 40)::VARCHAR AS task, CASE WHEN event_id % 2 = 0 THEN 'b' ELSE 'c' END AS arm, event_id % 20 AS trial, event_id % 3 % 2 + 1 AS attempt,
     CASE WHEN event_id % 17 <> 0 THEN floor(value * 100)::BIGINT END AS tokens, (event_id % 5 > 0)::BIGINT AS passed, event_id % 97 = 0 AS infra, event_type, props, event_id FROM events)"""

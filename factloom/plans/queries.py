@@ -76,10 +76,10 @@ def x34_ordinals(spark, d):
     return lookup.with_ordinals(B.symbols(spark, d), ["id"]).select("id", "ordinal")
 
 
-@query("SELECT c_custkey, replace(replace(n, '%', '%25'), '#', '%23') || '#' || replace(replace(s, '%', '%25'), '#', '%23') || CASE WHEN c_custkey % 2 = 0 THEN '#' || c_custkey ELSE '' END AS id, n AS file, s AS qualified_name, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS ordinal FROM (SELECT c_custkey, replace(c_name, '0', '#') AS n, c_mktsegment || '%' AS s FROM customer)")
+@query("SELECT c_custkey, replace(replace(n, '%', '%25'), '#', '%23') || '#' || replace(replace(s, '%', '%25'), '#', '%23') || CASE WHEN c_custkey % 2 = 0 THEN '#' || (c_custkey + 1) ELSE '' END AS id, n AS file, s AS qualified_name, CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 1 END AS ordinal FROM (SELECT c_custkey, replace(c_name, '0', '#') AS n, c_mktsegment || '%' AS s FROM customer)")
 def x35_ids(spark, d):
     c = B.table(spark, d, "customer")
-    made = c.select("c_custkey", S.canonical_id(F.replace("c_name", F.lit("0"), F.lit("#")), F.concat("c_mktsegment", F.lit("%")), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey"))).alias("id"))
+    made = c.select("c_custkey", S.canonical_id(F.replace("c_name", F.lit("0"), F.lit("#")), F.concat("c_mktsegment", F.lit("%")), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") + 1)).alias("id"))
     p = S.parsed_id(F.col("id"))
     return made.select("c_custkey", "id", p["file"].alias("file"), p["qualified_name"].alias("qualified_name"), p["ordinal"].cast("long").alias("ordinal"))
 
@@ -117,7 +117,7 @@ def p08_test_globs(spark, d):
     return t.select("path", globs.matches_any(F.col("path"), ["src1", "src1[0-9]", "*/fr/*1"]).alias("is_test"))
 
 
-@query(WITH_FACTS + "SELECT kind, ref_kind, receiver IS NOT NULL AS has_receiver, CASE WHEN ref_kind = 'call' THEN kind IN ('function', 'method', 'class') AND (receiver IS NULL OR kind = 'method') WHEN ref_kind = 'type' THEN kind = 'class' ELSE false END AS compatible, count(*) AS n FROM us JOIN sy ON us.target_id = sy.id GROUP BY ALL")
+@query(WITH_FACTS + "SELECT kind, ref_kind, receiver IS NOT NULL AS has_receiver, CASE kind WHEN 'method' THEN ref_kind IN ('call', 'read') AND receiver IS NOT NULL WHEN 'function' THEN ref_kind = 'call' AND receiver IS NULL ELSE ref_kind = 'type' END AS compatible, count(*) AS n FROM us JOIN sy ON us.target_id = sy.id GROUP BY ALL")
 def p09_compatible_forms(spark, d):
     s, u, b = B.facts(spark, d)
     j = match.bound_uses(u, b).join(s.select(F.col("id").alias("target_id"), "kind"), "target_id")
@@ -175,14 +175,14 @@ def j06_unique_members(spark, d):
 
 
 @query("""WITH RECURSIVE l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path, unnest(regexp_extract_all(html, 'href="([^"#?]+)"', 1)) AS href FROM pages)
-SELECT page_id, array_to_string(list_concat(string_split(path, '/')[1:len(string_split(path, '/')) - 1], list_filter(string_split('.' || href, '/'), x -> x <> '.' AND x <> '')), '/') AS target, count(*) AS n FROM l WHERE href LIKE '/%' AND NOT contains(href, '..') GROUP BY ALL""")
+SELECT page_id, array_to_string(list_concat(string_split(path, '/')[1:len(string_split(path, '/')) - 1], list_filter(string_split('.' || href, '/'), lambda x: x <> '.' AND x <> '')), '/') AS target, count(*) AS n FROM l WHERE href LIKE '/%' AND NOT contains(href, '..') GROUP BY ALL""")
 def j13_joined_paths(spark, d):
     p = B.table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1).alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"#?]+)"'), F.lit(1))).alias("href"))
     some = p.where(F.col("href").startswith("/") & ~F.contains("href", F.lit("..")))
     return some.groupBy("page_id", S.joined_path(F.col("path"), F.concat(F.lit("."), F.col("href"))).alias("target")).agg(F.count("*").alias("n"))
 
 
-@query(WITH_FACTS + """, at AS (SELECT DISTINCT file, start_line + 3 AS line FROM sy), inn AS (SELECT at.file, at.line, id, start_byte, end_byte FROM at JOIN sy ON sy.file = at.file AND at.line BETWEEN start_line AND end_line)
+@query(WITH_FACTS + """, pl AS (SELECT DISTINCT file, start_line + 3 AS line FROM sy), inn AS (SELECT pl.file, pl.line, id, start_byte, end_byte FROM pl JOIN sy ON sy.file = pl.file AND pl.line BETWEEN start_line AND end_line)
 SELECT file, line, id FROM inn a WHERE NOT EXISTS (SELECT 1 FROM inn b WHERE a.file = b.file AND a.line = b.line AND a.start_byte <= b.start_byte AND b.end_byte <= a.end_byte AND (a.start_byte < b.start_byte OR b.end_byte < a.end_byte))""")
 def j19_innermost(spark, d):
     s = B.symbols(spark, d)
@@ -190,8 +190,8 @@ def j19_innermost(spark, d):
 
 
 @query(WITH_FACTS + """, t AS (SELECT * FROM sy WHERE kind = 'method' AND file = (SELECT min(file) FROM sy)), m AS (SELECT t.id AS target, us.*, CASE WHEN us.target_id = t.id THEN us.resolution ELSE 'name_match' END AS r FROM t JOIN us ON us.target_id = t.id OR (us.target_id IS NULL AND us.lookup_name = t.lookup_name))
-SELECT target, count(*) FILTER (WHERE r = 'name_match' AND ref_kind <> 'call') AS by_form, count(*) FILTER (WHERE r = 'name_match' AND ref_kind = 'call' AND use_id % 5 = 0) AS by_receiver,
-count(*) FILTER (WHERE NOT (r = 'name_match' AND ref_kind <> 'call') AND NOT (r = 'name_match' AND use_id % 5 = 0)) AS kept FROM m GROUP BY target""")
+SELECT target, count(*) FILTER (WHERE r = 'name_match' AND (ref_kind = 'type' OR receiver IS NULL)) AS by_form, count(*) FILTER (WHERE r = 'name_match' AND ref_kind <> 'type' AND receiver IS NOT NULL AND use_id % 5 = 0) AS by_receiver,
+count(*) FILTER (WHERE r <> 'name_match' OR (ref_kind <> 'type' AND receiver IS NOT NULL AND use_id % 5 <> 0)) AS kept FROM m GROUP BY target""")
 def j20_exclusions(spark, d):
     s, u, b = B.facts(spark, d)
     t = s.where("kind = 'method'").join(F.broadcast(s.agg(F.min("file").alias("file"))), "file", "left_semi")
@@ -237,7 +237,7 @@ _NEIGHBOURS = """, t AS (SELECT id AS target FROM sy WHERE file = (SELECT min(fi
 SELECT target, target_id AS id, CASE WHEN ref_kind = 'type' THEN 'type' ELSE 'callee' END AS reason, resolution FROM us JOIN t ON containing_symbol = target WHERE target_id IS NOT NULL AND target_id <> target
 UNION ALL SELECT target, containing_symbol, 'caller', resolution FROM us JOIN t ON target_id = target WHERE containing_symbol <> target
 UNION ALL SELECT target, parent_id, 'parent', 'exact' FROM sy JOIN t ON id = target WHERE parent_id IS NOT NULL AND parent_id <> target),
-rk AS (SELECT nb.*, sy.file, start_byte, CASE reason WHEN 'type' THEN 1 WHEN 'callee' THEN 2 WHEN 'caller' THEN 3 ELSE 6 END AS p, CASE resolution WHEN 'exact' THEN 0 ELSE 1 END AS q FROM nb JOIN sy USING (id)),
+rk AS (SELECT nb.*, sy.file, start_byte, CASE reason WHEN 'type' THEN 1 WHEN 'callee' THEN 2 WHEN 'caller' THEN 4 ELSE 6 END AS p, CASE resolution WHEN 'exact' THEN 0 ELSE 1 END AS q FROM nb JOIN sy USING (id)),
 be AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY target, id ORDER BY p, q, file, start_byte) = 1)"""
 
 
@@ -299,12 +299,12 @@ def a09_snapshot_digest(spark, d):
 WITH_ATTEMPTS = f"WITH {B.ATTEMPTS_SQL} "
 
 
-@query(WITH_ATTEMPTS + "SELECT metric, task, arm, round(avg(value), 6) AS task_mean, count(value) AS n, count(*) FILTER (WHERE value IS NULL) AS missing FROM (SELECT task, arm, 'tokens' AS metric, tokens AS value FROM at UNION ALL SELECT task, arm, 'passed', passed FROM at) GROUP BY ALL")
+@query(WITH_ATTEMPTS + "SELECT metric, task, arm, round(avg(value), 6) AS task_mean, count(value) AS n, count(*) FILTER (WHERE value IS NULL) AS missing FROM (SELECT task, arm, 'tokens' AS metric, tokens AS value FROM att UNION ALL SELECT task, arm, 'passed', passed FROM att) GROUP BY ALL")
 def a10_task_means(spark, d):
     return study.task_means(B.attempts(spark, d), ["tokens", "passed"]).withColumn("task_mean", F.round("task_mean", 6))
 
 
-_ARMS = ", tm AS (SELECT task, arm, avg(tokens) AS m FROM at GROUP BY ALL HAVING count(tokens) > 0), am AS (SELECT arm, avg(m) AS mean, count(*) AS n_tasks, avg(m) FILTER (WHERE task IN (SELECT task FROM tm GROUP BY task HAVING count(*) = 2)) AS paired_mean, count(*) FILTER (WHERE task IN (SELECT task FROM tm GROUP BY task HAVING count(*) = 2)) AS n_paired FROM tm GROUP BY arm) "
+_ARMS = ", tm AS (SELECT task, arm, avg(tokens) AS m FROM att GROUP BY ALL HAVING count(tokens) > 0), am AS (SELECT arm, avg(m) AS mean, count(*) AS n_tasks, avg(m) FILTER (WHERE task IN (SELECT task FROM tm GROUP BY task HAVING count(*) = 2)) AS paired_mean, count(*) FILTER (WHERE task IN (SELECT task FROM tm GROUP BY task HAVING count(*) = 2)) AS n_paired FROM tm GROUP BY arm) "
 
 
 @query(WITH_ATTEMPTS + _ARMS + "SELECT 'tokens' AS metric, arm, round(mean, 4) AS mean, n_tasks, round(paired_mean, 4) AS paired_mean, n_paired FROM am")
@@ -319,7 +319,7 @@ def a12_comparisons(spark, d):
     return out.withColumns({"ratio": F.round("ratio", 6), "difference": F.round("difference", 4)})
 
 
-_INCLUSION = ", fl AS (SELECT *, coalesce(bool_or(attempt = 1 AND infra) OVER w, false) AS f1, coalesce(bool_or(attempt = 2 AND infra) OVER w, false) AS f2, bool_or(attempt = 2) OVER w AS h2 FROM at WINDOW w AS (PARTITION BY task, trial)), inc AS (SELECT *, CASE WHEN NOT f1 THEN CASE WHEN attempt = 1 THEN 'included' ELSE 'excluded' END WHEN h2 AND NOT f2 THEN CASE WHEN attempt = 2 THEN 'included' ELSE 'excluded' END ELSE 'excluded' END AS inclusion FROM fl) "
+_INCLUSION = ", fl AS (SELECT *, coalesce(bool_or(attempt = 1 AND infra) OVER w, false) AS f1, coalesce(bool_or(attempt = 2 AND infra) OVER w, false) AS f2, bool_or(attempt = 2) OVER w AS h2 FROM att WINDOW w AS (PARTITION BY task, trial)), inc AS (SELECT *, CASE WHEN NOT f1 THEN CASE WHEN attempt = 1 THEN 'included' ELSE 'excluded' END WHEN h2 AND NOT f2 THEN CASE WHEN attempt = 2 THEN 'included' ELSE 'excluded' END ELSE 'excluded' END AS inclusion FROM fl) "
 
 
 @query(WITH_ATTEMPTS + _INCLUSION + "SELECT event_id, inclusion FROM inc")
@@ -338,7 +338,7 @@ def a14_merged_counts(spark, d):
     return study.merged_counts(B.table(spark, d, "events"), ["event_type"], "props")
 
 
-@query(WITH_ATTEMPTS + "SELECT task, round(avg(b), 4) AS b, round(avg(c), 4) AS c, count(*) AS n FROM (SELECT task, trial, max(tokens) FILTER (WHERE arm = 'b') AS b, max(tokens) FILTER (WHERE arm = 'c') AS c FROM (SELECT task, trial // 2 AS trial, arm, tokens FROM at) GROUP BY ALL) WHERE b IS NOT NULL AND c IS NOT NULL GROUP BY task")
+@query(WITH_ATTEMPTS + "SELECT task, round(avg(b), 4) AS b, round(avg(c), 4) AS c, count(*) AS n FROM (SELECT task, trial, max(tokens) FILTER (WHERE arm = 'b') AS b, max(tokens) FILTER (WHERE arm = 'c') AS c FROM (SELECT task, trial // 2 AS trial, arm, tokens FROM att) GROUP BY ALL) WHERE b IS NOT NULL AND c IS NOT NULL GROUP BY task")
 def a15_task_values(spark, d):
     a = B.attempts(spark, d).withColumn("trial", F.floor(F.col("trial") / 2))
     return study.task_values(study.paired_blocks(a, "b", "c", "tokens"), "b", "c").withColumns({"b": F.round("b", 4), "c": F.round("c", 4)})
@@ -365,7 +365,7 @@ def a22_bindings_by_tier(spark, d):
     return u.join(b, "use_id").groupBy("ref_kind", "resolution").agg(F.count("*").alias("n"))
 
 
-@query("""WITH g AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS a, list_distinct(list(o_orderstatus || '-' || o_orderpriority)) AS s FROM orders GROUP BY o_custkey), h AS (SELECT o_custkey, len(a) AS na, len(list_filter(a, x -> x <> '1-URGENT')) AS hits FROM g)
+@query("""WITH g AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS a, list_distinct(list(o_orderstatus || '-' || o_orderpriority)) AS s FROM orders GROUP BY o_custkey), h AS (SELECT o_custkey, len(a) AS na, len(list_filter(a, lambda x: x <> '1-URGENT')) AS hits FROM g)
 SELECT o_custkey, hits, CASE WHEN na > 0 THEN hits / na END AS precision, 2 * hits * 5 >= 4 * (na + hits) AS passed FROM h""")
 def a20_set_scores(spark, d):
     g = B.table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("answer"), F.collect_set(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority"))).alias("gold"))
@@ -446,6 +446,115 @@ def o15_integrity(spark, d):
     return inventory.violations({"files": s.select(F.col("file").alias("path")).distinct(), "symbols": s, "uses": u, "bindings": b})
 
 
+@query(WITH_FACTS + "SELECT id, kind, name FROM sy WHERE id = 'part/17'")
+def s11_symbol_by_id(spark, d):
+    return B.symbols(spark, d).where("id = 'part/17'").select("id", "kind", "name")
+
+
+@query(WITH_FACTS + "SELECT use_id, ref_kind, start_byte FROM us WHERE file = 'order/32'")
+def s14_uses_by_file(spark, d):
+    return B.uses(spark, d).where("file = 'order/32'").select("use_id", "ref_kind", "start_byte")
+
+
+@query(WITH_FACTS + """, sp AS (SELECT DISTINCT file, start_byte + 15 AS start_byte, start_byte + 20 AS end_byte FROM sy)
+SELECT sp.file, sp.start_byte, sp.end_byte, arg_min(sy.id, (sy.end_byte - sy.start_byte, -sy.start_byte, sy.id)) AS id FROM sp LEFT JOIN sy ON sy.file = sp.file AND sy.start_byte <= sp.start_byte AND sp.end_byte <= sy.end_byte GROUP BY ALL""")
+def x18_containers(spark, d):
+    s = B.symbols(spark, d)
+    return lookup.containers(s, s.select("file", (F.col("start_byte") + 15).alias("start_byte"), (F.col("start_byte") + 20).alias("end_byte")))
+
+
+@query(WITH_FACTS + "SELECT id FROM (SELECT id, kind = 'class' AS b, bool_or(kind = 'class') OVER (PARTITION BY file, name) AS any_b, row_number() OVER (PARTITION BY file, name ORDER BY start_byte, id) AS n FROM sy) WHERE b OR (NOT any_b AND n = 1)")
+def x25_overloads(spark, d):
+    return lookup.folded_overloads(B.symbols(spark, d).withColumn("has_body", F.col("kind") == "class"), ["file", "name"]).select("id")
+
+
+@query(f"""WITH RECURSIVE {B.SYMBOLS_SQL}, ch AS (SELECT id, id AS at, 0 AS depth FROM sy UNION ALL SELECT ch.id, sy.parent_id, depth + 1 FROM ch JOIN sy ON sy.id = ch.at WHERE sy.parent_id IS NOT NULL AND depth < 10)
+SELECT ch.id, f.kind AS name, arg_min(f.name, depth) AS value FROM ch JOIN sy f ON f.id = ch.at WHERE f.kind <> 'class' GROUP BY ALL""")
+def j07_scope_chains(spark, d):
+    s = B.symbols(spark, d)
+    return hierarchy.nearest_scope(s.select("id", "parent_id"), s.where("kind <> 'class'").select(F.col("id").alias("scope"), F.col("kind").alias("name"), F.col("name").alias("value")))
+
+
+@query(WITH_EDGES + "SELECT s_suppkey, r_regionkey, s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = r_regionkey) AND s_nationkey <> 24 AS unrelated FROM supplier CROSS JOIN region WHERE s_suppkey % 5 = r_regionkey")
+def g07_unrelated_receivers(spark, d):
+    sup = B.table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("supplier/"), F.col("s_suppkey")).alias("id"))
+    ups = hierarchy.upsets(B.supertypes(spark, d), sup.select("id"))
+    regions = B.table(spark, d, "region").select("r_regionkey", F.concat(F.lit("region/"), F.col("r_regionkey")).alias("id"))
+    related = hierarchy.class_relation(ups, regions.select("id")).join(regions.withColumnRenamed("id", "target"), "target", "right")
+    none = F.array().cast("array<string>")
+    j = sup.join(ups.select("id", "open"), "id").join(related, F.col("s_suppkey") % 5 == F.col("r_regionkey"))
+    return j.select("s_suppkey", "r_regionkey", hierarchy.unrelated(F.col("id"), F.coalesce("related", none), F.col("open")).alias("unrelated"))
+
+
+@query(WITH_FACTS + "SELECT DISTINCT a.containing_symbol, a.target_id FROM us a WHERE a.target_id IS NOT NULL AND a.ref_kind <> 'type' AND EXISTS (SELECT 1 FROM us b WHERE b.ref_kind = 'type' AND b.target_id = a.target_id AND b.containing_symbol = a.containing_symbol)")
+def g11_import_candidates(spark, d):
+    _, u, b = B.facts(spark, d)
+    kinds = u.withColumns({"ref_kind": F.when(F.col("ref_kind") == "type", "import").otherwise(F.col("ref_kind")), "file": F.col("containing_symbol")})
+    return context.import_candidates(kinds, b)
+
+
+_PAIRED = ", tv AS (SELECT task, avg(b) AS b, avg(c) AS c FROM (SELECT task, trial, max(tokens) FILTER (WHERE arm = 'b') AS b, max(tokens) FILTER (WHERE arm = 'c') AS c FROM (SELECT task, trial // 2 AS trial, arm, tokens, passed FROM att WHERE passed >= {least}) GROUP BY ALL) WHERE b IS NOT NULL AND c IS NOT NULL GROUP BY task) "
+
+
+def _values(spark, d, least=0):
+    a = B.attempts(spark, d).where(F.col("passed") >= least).withColumn("trial", F.floor(F.col("trial") / 2))
+    return study.task_values(study.paired_blocks(a, "b", "c", "tokens"), "b", "c")
+
+
+@query(WITH_ATTEMPTS + _PAIRED.format(least=0) + "SELECT round(avg(c) / avg(b), 6) AS ratio, round(avg(c) - avg(b), 3) AS difference, count(*) AS n_tasks FROM tv")
+def a16_estimates(spark, d):
+    return study.estimates(_values(spark, d), "b", "c").withColumns({"ratio": F.round("ratio", 6), "difference": F.round("difference", 3)})
+
+
+@query(WITH_ATTEMPTS + _PAIRED.format(least=1) + "SELECT round(avg(c) / avg(b), 6) AS ratio, round(avg(c) - avg(b), 3) AS difference, count(*) AS n_tasks FROM tv")
+def a18_successful_only(spark, d):
+    return study.estimates(_values(spark, d, 1), "b", "c").withColumns({"ratio": F.round("ratio", 6), "difference": F.round("difference", 3)})
+
+
+@query(WITH_ATTEMPTS + _PAIRED.format(least=0) + "SELECT task::INTEGER % 3 AS category, round(avg(c) / avg(b), 6) AS ratio, round(avg(c) - avg(b), 3) AS difference, count(*) AS n_tasks FROM tv GROUP BY ALL")
+def a19_group_estimates(spark, d):
+    v = _values(spark, d).withColumn("category", F.col("task").cast("int") % 3)
+    return study.group_estimates(v, "category", "b", "c").withColumns({"ratio": F.round("ratio", 6), "difference": F.round("difference", 3)})
+
+
+@query(WITH_INVENTORY + "SELECT coalesce(b.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'deleted' WHEN (a.content_hash, a.parse_status, a.language) IS NOT DISTINCT FROM (b.content_hash, b.parse_status, b.language) OR (a.size, a.mtime_ns) = (b.size, b.mtime_ns) THEN 'same' ELSE 'changed' END AS change FROM i0 a FULL OUTER JOIN (SELECT i1.*, CASE WHEN content_hash < 'sha256:8' THEN size - 7 ELSE size END AS size, mtime_ns FROM (SELECT * EXCLUDE (parse_status), parse_status FROM i1) i1 JOIN (SELECT CASE WHEN doc_id % 13 = 5 THEN 'moved/' ELSE '' END || source || '/' || lang || '/' || doc_id AS path, strlen(text) AS size, doc_id AS mtime_ns FROM d1) USING (path)) b ON a.path = b.path")
+def rf04_metadata_difference(spark, d):
+    later = B.inventory(spark, d, later=True).withColumn("size", F.when(F.col("content_hash") < "sha256:8", F.col("size") - 7).otherwise(F.col("size")))
+    return inventory.difference(B.inventory(spark, d), later, trust_metadata=True)
+
+
+@query()
+def w06_schedule(spark, d):
+    tasks = [f"t{k}" for k in range(20)]
+    return spark.createDataFrame(study.schedule(tasks, ["b", "c"], 5, 3), "block long, task string, trial long, arm string, place long")
+
+
+@query("SELECT conv_id, turn, turn::VARCHAR AS answer FROM conversations")
+def b01_answers(spark, d):
+    t = B.table(spark, d, "conversations")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n```json\nold\n```\nthen\n```json\n"), F.col("turn"), F.lit("\n```\n"))
+    return t.select("conv_id", "turn", study.answer_json(text).alias("answer"))
+
+
+@query("""WITH w AS (SELECT conv_id || '/' || turn AS id, string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' ') AS w FROM conversations), b AS (SELECT item_id, string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+p AS (SELECT DISTINCT id, array_to_string(w[k:k + 2], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM w WHERE len(w) >= 3)), q AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 2], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS k FROM b WHERE len(w) >= 3))
+SELECT id, count(DISTINCT item_id) AS n_needles FROM p JOIN q USING (run) GROUP BY id""")
+def b05_contamination(spark, d):
+    t = B.table(spark, d, "conversations").select(F.concat("conv_id", F.lit("/"), "turn").alias("id"), "text")
+    return study.contaminated(t, B.table(spark, d, "benchmark").select(F.col("item_id").alias("needle"), "text"), 3)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'timeout' WHEN user_id >= 90 THEN 'max_turns' WHEN value >= 90 THEN 'budget' WHEN event_id % 7 <> 0 THEN 'crash' ELSE 'completed' END AS outcome FROM events")
+def b07_outcomes(spark, d):
+    e = B.table(spark, d, "events")
+    return e.select("event_id", study.outcome(F.col("event_id") % 11 == 0, F.col("user_id"), 90, F.col("value"), 90, F.col("event_id") % 7).alias("outcome"))
+
+
+@query(WITH_FACTS + "SELECT name, id, total, CASE WHEN total > 3 THEN 3 END AS next_offset FROM (SELECT name, id, count(*) OVER (PARTITION BY name) AS total, row_number() OVER (PARTITION BY name ORDER BY file, start_byte, id) AS k FROM sy) WHERE k <= 3")
+def t04_candidate_pages(spark, d):
+    return match.pages(B.symbols(spark, d), "name", lookup.symbol_order(), 0, 3).select("name", "id", "total", "next_offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

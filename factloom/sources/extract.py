@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars as S
 from factloom.sources.lexer import LexError, Token, tokens
 
+RULES = "php-1;typescript-1;facts-1"
 MAX_TOKENS = 1_000_000
 MAX_USES = 500_000
 #: Words that are no uses of declarations. Fixed values.
 PHP_WORDS = frozenset("abstract and array as break callable case catch clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile enum exit extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new or print private protected public readonly require require_once return static switch throw trait try unset use var while xor yield self parent true false null int float string bool void mixed never object iterable class".split())
 TS_WORDS = frozenset("abstract any as asserts async await boolean break case catch class const continue debugger declare default delete do else enum export extends false finally for from function get if implements import in infer instanceof interface is keyof let module namespace never new null number object of package private protected public readonly require return satisfies set static string super switch symbol this throw true try type typeof undefined unique unknown using var void while with yield bigint".split())
-CLASS_LIKE = {"class": "class", "interface": "interface", "trait": "trait", "enum": "enum"}
+#: A trait is of class kind; only its signature tells it apart.
+CLASS_LIKE = {"class": "class", "interface": "interface", "trait": "class", "enum": "enum"}
 MODIFIERS = frozenset("public private protected static abstract final readonly async declare export default override var accessor const get set".split())
 
 
@@ -98,9 +100,9 @@ class _Reader:
         self.facts.symbols.append(s)
         return s
 
-    def use(self, kind: str, at: int, inside: dict | None, receiver: str | None = None) -> None:
+    def use(self, kind: str, at: int, inside: dict | None, receiver: str | None = None, relation: str | None = None) -> None:
         tok = self.t[at]
-        self.facts.uses.append({"ref_kind": kind, "spelling": tok.text, "start_byte": tok.start, "end_byte": tok.end, "container": inside["qualified_name"] if inside else None, "container_start": inside["start_byte"] if inside else None, "receiver": receiver, "namespace": self.namespace})
+        self.facts.uses.append({"ref_kind": kind, "spelling": tok.text, "start_byte": tok.start, "end_byte": tok.end, "container": inside["qualified_name"] if inside else None, "container_start": inside["start_byte"] if inside else None, "receiver": receiver, "relation": relation, "namespace": self.namespace})
         if len(self.facts.uses) > MAX_USES:
             raise ParseError("too many uses", tok.start)
 
@@ -183,7 +185,7 @@ class _Reader:
             if self.text(k) in ("extends", "implements"):
                 kind = self.text(k)
             elif self.is_name(k) and self.text(k).lower() not in (PHP_WORDS if self.php else TS_WORDS):
-                self.use(kind if kind and self.text(k - 1) not in ("<", "|") else "type", k, s)
+                self.use("type", k, s, relation=kind if self.text(k - 1) not in ("<", "|") else None)
             k += 1
         self.members(open_ + 1, self.close[open_], s, self.text(at) == "enum")
         return self.close[open_] + 1
@@ -198,7 +200,7 @@ class _Reader:
                 stop = self.until(k, end, "; {")
                 for x in range(k + 1, stop):
                     if self.is_name(x):
-                        self.use("type", x, owner)
+                        self.use("unknown", x, owner)
                 k = (self.close[stop] if self.text(stop) == "{" else stop) + 1
                 continue
             body = self._skip_modifiers(k, end)
@@ -339,7 +341,7 @@ class _Reader:
                 self.use("call" if called else "write" if after == "=" else "read", k, inside, receiver)
             elif kind == "name" and text.lower() not in words and not (not self.php and after == ":" and before in ("{", ",")):
                 if before == "new":
-                    self.use("call", k, inside, "new")
+                    self.use("type" if self.php else "call", k, inside, relation="new")
                 elif after == "(":
                     self.use("call", k, inside)
                 elif self.php and (after == "::" or before in ("instanceof", "|") or (self.t[k + 1].kind == "var" if k + 1 < len(self.t) else False)):
@@ -426,7 +428,7 @@ def extract(language: str, source: bytes) -> Facts:
 
 
 _SYMBOL = "struct<kind:string,name:string,qualified_name:string,parent:string,parent_start:long,start_byte:long,end_byte:long,signature:string,doc_comment:string,start_line:int,end_line:int>"
-_USE = "struct<ref_kind:string,spelling:string,start_byte:long,end_byte:long,container:string,container_start:long,receiver:string,namespace:string,line:int,col:int>"
+_USE = "struct<ref_kind:string,spelling:string,start_byte:long,end_byte:long,container:string,container_start:long,receiver:string,relation:string,namespace:string,line:int,col:int>"
 _IMPORT = "struct<kind:string,alias:string,target:string,start_byte:long,end_byte:long,namespace:string>"
 _DIAGNOSTIC = "struct<code:string,detail:string,start_byte:long>"
 RAW_SCHEMA = f"file string, language string, symbols array<{_SYMBOL}>, uses array<{_USE}>, imports array<{_IMPORT}>, diagnostics array<{_DIAGNOSTIC}>"
@@ -465,9 +467,8 @@ def raw_facts(files: DataFrame) -> DataFrame:
 
 
 def fact_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """symbols, uses, imports and diagnostics, with ids, lookup names and containers. The parsed rows are computed once
-    per table unless the caller persists raw_facts(files) and passes it on to tables_of()."""
-    return tables_of(raw_facts(files))
+    """symbols, uses, imports and diagnostics, with ids, lookup names and containers; parsed rows are kept for all of them."""
+    return tables_of(raw_facts(files).persist())
 
 
 def tables_of(raw: DataFrame) -> dict[str, DataFrame]:
@@ -481,7 +482,7 @@ def tables_of(raw: DataFrame) -> dict[str, DataFrame]:
     u = raw.select("file", "language", F.explode("uses").alias("u")).select("file", "language", "u.*")
     uses = u.join(ids.withColumnsRenamed({"_q": "container", "_s": "container_start", "_id": "containing_symbol"}), ["file", "container", "container_start"], "left").drop("container", "container_start")
     short = F.when(F.col("language") == "php", S.short_name(F.col("spelling"))).otherwise(F.col("spelling"))
-    uses = uses.withColumn("lookup_name", F.when((F.col("language") == "php") & F.col("ref_kind").isin("call", "type", "extends", "implements", "import"), S.ascii_fold(short)).otherwise(short))
+    uses = uses.withColumn("lookup_name", F.when((F.col("language") == "php") & F.col("ref_kind").isin("call", "type", "unknown", "import"), S.ascii_fold(short)).otherwise(short))
     uses = uses.withColumn("use_id", F.xxhash64("file", "start_byte", "end_byte", "ref_kind")).dropDuplicates(["file", "start_byte", "end_byte", "ref_kind"])
     explode = lambda name: raw.select("file", "language", F.explode(name).alias("x")).select("file", "language", "x.*")
     return {"symbols": symbols, "uses": uses, "imports": explode("imports"), "diagnostics": explode("diagnostics")}

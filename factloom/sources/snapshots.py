@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +57,8 @@ class SnapshotStore:
         except FileNotFoundError:
             return None
 
-    def publish(self, digest: str, tables: dict[str, DataFrame], fingerprints: dict[str, str], expected: str | None) -> bool:
-        """Writes what isn't there and moves the pointer; Conflict if the current digest isn't the expected one any more.
+    def publish(self, digest: str, tables: dict[str, DataFrame], fingerprints: dict[str, str], expected: str | None, link: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> bool:
+        """Writes the tables, then what link() makes of them as written, and moves the pointer; Conflict if the current digest isn't the expected one any more.
         False if nothing changed."""
         with self.lock():
             now = self.current()
@@ -69,6 +70,10 @@ class SnapshotStore:
             where = os.path.join(self.root, digest.replace(":", "-"))
             for name, df in tables.items():
                 df.write.mode("overwrite").parquet(os.path.join(where, name))
+            if link is not None:
+                written = {name: df.sparkSession.read.schema(df.schema).parquet(os.path.join(where, name)) for name, df in tables.items()}
+                for name, df in link(written).items():
+                    df.write.mode("overwrite").parquet(os.path.join(where, name))
             with open(self._pointer() + ".new", "w", encoding="utf-8") as f:
                 json.dump(meta, f, sort_keys=True)
             os.replace(self._pointer() + ".new", self._pointer())

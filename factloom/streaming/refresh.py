@@ -13,20 +13,21 @@ from factloom.sources.snapshots import Conflict, SnapshotStore
 ATTEMPTS = 2
 
 
-def refresh(store: SnapshotStore, files: Callable[[], DataFrame], extract: Callable[[DataFrame], dict[str, DataFrame]], fingerprints: dict[str, str], metadata: bool = False, force: bool = False) -> dict:
+def refresh(store: SnapshotStore, files: Callable[[], DataFrame], extract: Callable[[DataFrame], dict[str, DataFrame]], fingerprints: dict[str, str], metadata: bool = False, force: bool = False, link: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> dict:
     """Publishes the state of files() (path, language, mtime_ns, size, content_hash, source, parse_status) and what
-    extract() makes of ok files, by table with a file column. Returns digest, updated, unchanged, deleted. A publication
+    extract() makes of ok files, by table with a file column, and what link() makes of all
+    tables together (links are always made anew: a change anywhere may settle or unsettle them). Returns digest, updated, unchanged, deleted. A publication
     that loses a race is tried once more."""
     for attempt in range(ATTEMPTS):
         try:
-            return _attempt(store, files(), extract, fingerprints, metadata, force)
+            return _attempt(store, files(), extract, fingerprints, metadata, force, link)
         except Conflict:
             if attempt == ATTEMPTS - 1:
                 raise
     raise AssertionError
 
 
-def _attempt(store: SnapshotStore, new: DataFrame, extract, fingerprints: dict[str, str], metadata: bool, force: bool) -> dict:
+def _attempt(store: SnapshotStore, new: DataFrame, extract, fingerprints: dict[str, str], metadata: bool, force: bool, link) -> dict:
     spark, now = new.sparkSession, store.current()
     new = new.cache()
     try:
@@ -42,7 +43,9 @@ def _attempt(store: SnapshotStore, new: DataFrame, extract, fingerprints: dict[s
         if not fresh_only:
             same = changes.where("change = 'same'").select(F.col("path").alias("file"))
             tables = {name: store.read(spark, name, digest=now["digest"]).join(same, "file", "left_semi").unionByName(df) for name, df in tables.items()}
-        store.publish(digest, {"files": new.drop("source"), **tables}, fingerprints, now["digest"] if now else None)
+        tables = {"files": new.drop("source"), **tables}
+        tables["sources"] = new.where("source IS NOT NULL").select(F.col("path").alias("file"), "source")
+        store.publish(digest, tables, fingerprints, now["digest"] if now else None, link)
         return {"digest": digest, **counts}
     finally:
         new.unpersist()

@@ -85,12 +85,12 @@ def test_resolution(spark, tree):
     assert links.groupBy("use_id").count().where("count > 1").count() == 0
     got = {(r["file"], r["spelling"], r["ref_kind"], r["line"]): (r["target_id"], r["resolution"]) for r in t["uses"].join(links, "use_id").collect()}
     user = "src/User.php#App\\Model\\User"
-    assert got["src/User.php", "Other", "extends", 6] == ("src/Thing.php#App\\Base\\Thing", "exact")
+    assert got["src/User.php", "Other", "type", 6] == ("src/Thing.php#App\\Base\\Thing", "exact")
     assert got["src/User.php", "helper", "call", 9] == ("src/lib.php#App\\helper", "exact")
     assert got["src/User.php", "count", "call", 10] == (user + "::count", "scoped")
     assert got["src/User.php", "name", "write", 9] == (user + "::$name", "scoped")
     assert got["src/User.php", "LIMIT", "read", 10] == (user + "::LIMIT", "scoped")
-    assert ("src/User.php", "\\Countable", "implements", 6) not in got
+    assert ("src/User.php", "\\Countable", "type", 6) not in got
     assert got["web/box.ts", "b", "call", 5] == ("web/m.ts#a", "exact") and got["web/box.ts", "a", "call", 5] == ("web/m.ts#a", "exact")
     assert got["web/box.ts", "size", "read", 5] == ("web/box.ts#Box.size", "scoped") and got["web/box.ts", "C", "type", 7] == ("web/m.ts#C", "exact")
     edges = resolve.supertype_edges(t["symbols"], t["uses"], links)
