@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Learning uses labelled rows of the training folds only, at most EXAMPLES of each label, those of smallest hash (a
-documented bound). A text's terms are its lower-cased words of up to GRAM letters and the GRAM-letter grams of longer ones; those whose
-document frequency differs between the labels are the vocabulary. Examples are unit TF-IDF vectors in an inverted
+Learning uses labelled rows of the training folds only, at most EXAMPLES of label 1 and NEGATIVES of label 0, those of
+smallest hash (a documented bound); label 0 is weighted by its share of all training rows. A text's terms are its lower-cased words of up to GRAM letters and the GRAM-letter grams of longer ones; those whose
+document frequency differs between the labels are the vocabulary, if they are in LEAST_SHARE of one label's examples. Examples are unit TF-IDF vectors in an inverted
 index cut into blocks of BLOCK postings, each with its largest weight; a query skips blocks of examples whose bound
 can't reach its K-th best, so its neighbours are exact. Votes are weighted by closeness, and a table of vote to
 frequency, made from leave-one-out votes of the examples and made monotone, turns the vote into a probability.
@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EXAMPLES = 1500
+NEGATIVES = 4500
 TERMS = 3000
 GRAM = 5
 K = 15
 BLOCK = 64
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-LOG_ODDS = 2.0  # a term whose odds between the labels differ by less (as a logarithm) isn't in the vocabulary
-LEAST_EXAMPLES = 5  # nor is one in fewer examples
+LOG_ODDS = 2.5  # a term whose odds between the labels differ by less (as a logarithm) isn't in the vocabulary
+LEAST_SHARE = 0.015  # nor is one in a smaller share of each label's examples: rare terms differ by chance
+LEAST_EXAMPLES = 3
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHED = 300_000
 
@@ -42,33 +44,32 @@ def word_terms(word: str) -> list[str]:
     return [word] if len(word) <= GRAM else [word[k : k + GRAM] for k in range(len(word) - GRAM + 1)]
 
 
-def terms(text: str) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter(_WORD.findall(text.lower())).items():
-        for t in word_terms(word):
-            out[t] += n
-    return out
+def terms(text: str) -> set[str]:
+    return {t for word in set(_WORD.findall(text.lower())) for t in word_terms(word)}
 
 
 class Model:
-    def __init__(self, texts: list[str], labels: list[int]) -> None:
+    def __init__(self, texts: list[str], labels: list[int], weight: float = 1.0) -> None:
+        """weight: how many rows a label-0 example stands for, if a label-1 example stands for one."""
         self.labels = np.array(labels, dtype=np.float64)
         n1, n0 = int(self.labels.sum()), int((1 - self.labels).sum())
-        self.base = n1 / (n1 + n0) if labels else 0.5
+        self.base = n1 / (n1 + weight * n0) if labels else 0.5
+        self.weight = weight
         self.vocabulary: dict[str, int] = {}
         self.scores = np.full(1, self.base)
         if not n1 or not n0:
             self._index([])
             return
-        counted = [terms(t) for t in texts]
         df = (Counter(), Counter())
-        for c, label in zip(counted, labels, strict=True):
-            df[label].update(c.keys())
-        odds = {t: abs(np.log((df[1][t] + 0.5) / (n1 + 1)) - np.log((df[0][t] + 0.5) / (n0 + 1))) for t in df[0].keys() | df[1].keys() if df[0][t] + df[1][t] >= LEAST_EXAMPLES}
+        for text, label in zip(texts, labels, strict=True):
+            df[label].update(terms(text))
+        least = (max(LEAST_EXAMPLES, LEAST_SHARE * n0), max(LEAST_EXAMPLES, LEAST_SHARE * n1))
+        odds = {t: abs(np.log((df[1][t] + 0.5) / (n1 + 1)) - np.log((df[0][t] + 0.5) / (n0 + 1))) for t in df[0].keys() | df[1].keys() if df[0][t] >= least[0] or df[1][t] >= least[1]}
         chosen = sorted((t for t, x in odds.items() if x >= LOG_ODDS), key=lambda t: (-(df[0][t] + df[1][t]) * odds[t], t))[:TERMS]
         self.vocabulary = {t: k for k, t in enumerate(sorted(chosen))}
         self.idf = np.array([np.log((1 + n0 + n1) / (1 + df[0][t] + df[1][t])) + 1 for t in sorted(chosen)])
-        vectors = [self._vector({self.vocabulary[t]: n for t, n in c.items() if t in self.vocabulary}) for c in counted]
+        cache: dict = {}
+        vectors = [self._vector(self.counts(t, cache)) for t in texts]
         self._index(vectors)
         self._calibrate(vectors)
 
@@ -121,20 +122,21 @@ class Model:
 
     def _calibrate(self, vectors: list) -> None:
         """Frequencies of label 1 by vote, over the examples each left out: pool adjacent violators on 50 bins."""
-        votes, empty = [], []
+        of = np.where(self.labels > 0, 1.0, self.weight)
+        votes, rows, empty = [], [], []
         for e, v in enumerate(vectors):
             near = self.neighbours(v, but=e)
             if near:
-                votes.append((self.vote(near), self.labels[e]))
+                votes.append(self.vote(near))
+                rows.append(e)
             else:
-                empty.append(self.labels[e])
-        self.empty = (sum(empty) + self.base) / (len(empty) + 1)
+                empty.append(e)
+        self.empty = float(((of * self.labels)[empty].sum() + self.base) / (of[empty].sum() + 1))
         pools: list[list[float]] = []  # [sum of labels, count, bins]
-        bins = np.minimum((np.array([v for v, _ in votes]) * 50).astype(int), 49) if votes else np.empty(0, int)
-        truth = np.array([y for _, y in votes])
+        bins = np.minimum((np.array(votes) * 50).astype(int), 49)
         for k in range(50):
-            mine = truth[bins == k]
-            pools.append([mine.sum() + (k + 0.5) / 50, len(mine) + 1.0, 1])
+            mine = np.array(rows, dtype=np.int64)[bins == k]
+            pools.append([(of * self.labels)[mine].sum() + (k + 0.5) / 50, of[mine].sum() + 1.0, 1])
             while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
                 a, b = pools.pop(-2), pools.pop(-1)
                 pools.append([a[0] + b[0], a[1] + b[1], a[2] + b[2]])
@@ -165,14 +167,17 @@ def fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[Model, list[int]]:
+def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, negatives: int = NEGATIVES) -> tuple[Model, list[int]]:
     """The model and the doc_ids of its examples. Of each label the examples of smallest hash, the same at every size."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id")
-    parts = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(examples) for k in (0, 1)]
+    parts = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(most) for k, most in ((0, negatives), (1, examples))]
     wanted = parts[0].unionByName(parts[1])
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return Model([r["text"] for r in rows], [int(r["toxic"]) for r in rows]), [r["doc_id"] for r in rows]
+    share = lambda k, most: n.get(k, 0) / max(1, min(n.get(k, 0), most))
+    weight = share(0, negatives) / share(1, examples) if n.get(1) and n.get(0) else 1.0
+    return Model([r["text"] for r in rows], [int(r["toxic"]) for r in rows], weight), [r["doc_id"] for r in rows]
 
 
 def scored(documents: DataFrame, labels: DataFrame, learned_from: DataFrame | None = None) -> DataFrame:
