@@ -1,16 +1,22 @@
-"""python -m factloom --root TREE --store DIR (index | symbol Q | refs Q | context Q) [options]: one JSON object."""
+"""python -m factloom --root TREE --store DIR (init | snippet | index | symbol Q | refs Q | context Q) [options].
+
+Text, or with --json one JSON object; errors go to stderr with an exit code of their own."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="factloom")
     p.add_argument("--root", default=".")
-    p.add_argument("--store", required=True)
+    p.add_argument("--store", default=".factloom/store")
+    p.add_argument("--json", action="store_true")
     c = p.add_subparsers(dest="command", required=True)
+    c.add_parser("init").add_argument("--snippet-file")
+    c.add_parser("snippet")
     i = c.add_parser("index")
     i.add_argument("--force", action="store_true")
     i.add_argument("--timing", action="store_true")
@@ -38,20 +44,32 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
+    options = vars(parser().parse_args(argv))
+    root, store, command, as_json = (options.pop(k) for k in ("root", "store", "command", "json"))
+    if command in ("init", "snippet"):
+        from factloom.sources import setup
+
+        result = setup.init(root, **options) if command == "init" else {"schema_version": 1, "snippet": setup.SNIPPET}
+        sys.stdout.write(_json(result) if as_json else result.get("snippet") or "".join(f"{k}: {', '.join(result[k]) or 'nothing'}\n" for k in ("created", "modified")))
+        return 0
     from pyspark.sql import SparkSession
 
-    from factloom.api import Engine, Failure, dumps
+    from factloom.api import Engine, Failure
+    from factloom.text import rendered
 
-    options = vars(parser().parse_args(argv))
-    root, store, command = options.pop("root"), options.pop("store"), options.pop("command")
     spark = SparkSession.builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    shown = _json if as_json else rendered
     try:
-        sys.stdout.write(dumps(getattr(Engine(spark, root, store), command)(**options)))
+        sys.stdout.write(shown(getattr(Engine(spark, root, store), command)(**options)))
         return 0
     except Failure as e:
-        sys.stderr.write(dumps(e.object()))
+        sys.stderr.write(shown(e.object()))
         return e.exit_code
 
 
+def _json(value: dict) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")) + "\n"
+
+
 if __name__ == "__main__":
     sys.exit(main())
