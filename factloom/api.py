@@ -23,7 +23,7 @@ from factloom.streaming.refresh import refresh
 
 SCHEMA_VERSION = 1
 TOKENIZER = "utf8-bytes-v1"
-RULES_VERSION = "php-1;typescript-1"
+RULES_VERSION = "php-2;typescript-1"
 #: Fixed values.
 EXIT_CODES = {"general": 1, "invalid_arguments": 2, "repository_unavailable": 3, "symbol_not_found": 4, "ambiguous_symbol": 5, "parse_failure": 6, "unsupported_language": 7, "budget_too_small": 8, "repository_changed": 9}
 SYMBOL_KEYS = ("id", "name", "qualified_name", "kind", "language", "file", "start_byte", "end_byte", "start_line", "end_line", "content_hash")
@@ -76,7 +76,7 @@ class Engine:
 
     @staticmethod
     def _link(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        return {"bindings": resolve.resolve_links(tables["symbols"], tables["uses"], tables["imports"], tables["files"])}
+        return {"bindings": resolve.resolve_links(tables["symbols"], tables["uses"], tables["imports"], tables["files"], tables["locals"])}
 
     def read(self, name: str) -> DataFrame:
         try:

@@ -22,7 +22,8 @@ TS_TYPE_KINDS = (*CLASS_KINDS, "type_alias")
 class Scope:
     """Facts of one language and their unique lookups. symbols need parent_id and lookup_name."""
 
-    def __init__(self, language: str, symbols: DataFrame, uses: DataFrame, imports: DataFrame, files: DataFrame) -> None:
+    def __init__(self, language: str, symbols: DataFrame, uses: DataFrame, imports: DataFrame, files: DataFrame, locals_: DataFrame | None = None) -> None:
+        self.locals = None if locals_ is None else locals_.where(F.col("language") == language)
         self.symbols = symbols.where(F.col("language") == language)
         self.uses = uses.where(F.col("language") == language)
         self.imports = imports.where(F.col("language") == language)
@@ -114,6 +115,25 @@ def php_receivers(scope: Scope) -> DataFrame:
     return found.groupBy("use_id").agg(F.count_distinct("target_id").alias("n"), F.min("target_id").alias("target_id")).where("n = 1").select("use_id", "target_id", F.lit("scoped").alias("resolution"))
 
 
+def php_typed(scope: Scope) -> DataFrame:
+    """Methods and properties of variables with one known class: a typed parameter that nothing else may set, a sole
+    `new` before the use in the same block, or a typed property of $this."""
+    if scope.locals is None:
+        return scope.uses.limit(0).select("use_id", F.lit("").alias("target_id"), F.lit("").alias("resolution"))
+    member = scope.uses.where("receiver IS NOT NULL AND ref_kind IN ('call', 'read', 'write') AND containing_symbol IS NOT NULL").select("use_id", "containing_symbol", "receiver", "ref_kind", "spelling", F.col("start_byte").alias("at"))
+    facts = scope.locals.where("containing_symbol IS NOT NULL")
+    whole = facts.where("how <> 'property'").groupBy("containing_symbol", F.col("variable").alias("receiver")).agg(F.count("*").alias("n"), F.first("how").alias("how"), F.first("type").alias("type"), F.first("start_byte").alias("since"), F.first("block_end").alias("until"), F.first("file").alias("file"), F.first("namespace").alias("namespace"))
+    sole = whole.where("n = 1 AND type IS NOT NULL")
+    plain = member.join(sole, ["containing_symbol", "receiver"]).where((F.col("how") == "param") | ((F.col("since") < F.col("at")) & (F.col("at") < F.col("until"))))
+    fields = facts.where("how = 'property'").groupBy(F.col("containing_symbol").alias("class_of"), F.concat(F.lit("$this->"), F.expr("substring(variable, 2)")).alias("receiver")).agg(F.count("*").alias("n"), F.first("type").alias("type"), F.first("file").alias("file"), F.first("namespace").alias("namespace")).where("n = 1 AND type IS NOT NULL")
+    owned = member.join(scope.enclosing_classes().withColumnRenamed("class_id", "class_of"), "containing_symbol").join(fields, ["class_of", "receiver"])
+    columns = ["use_id", "ref_kind", F.col("spelling").alias("member_name"), "file", "namespace", F.col("type").alias("spelling")]
+    typed = php_class_names(scope, plain.select(*columns).unionByName(owned.select(*columns))).join(scope.unique_classes().withColumnRenamed("target_id", "class_id"), "key")
+    name = F.when(F.col("ref_kind") == "call", S.ascii_fold(F.col("member_name"))).otherwise(F.col("member_name"))
+    asked = typed.select("use_id", "class_id", name.alias("member"), F.when(F.col("ref_kind") == "call", "method").otherwise("property").alias("member_kind"))
+    return asked.join(scope.unique_members(), ["class_id", "member_kind", "member"]).select("use_id", "target_id", F.lit("scoped").alias("resolution"))
+
+
 def _exports(scope: Scope) -> DataFrame:
     """(path, name, target_id): top-level declarations that have exactly one body under their name."""
     return match.unique_by(scope.symbols.where("parent_id IS NULL").select(F.col("file").alias("path"), "name", "id"), ["path", "name"]).withColumnRenamed("id", "target_id")
@@ -152,14 +172,14 @@ def ts_receivers(scope: Scope) -> DataFrame:
     return asked.join(one, ["class_id", "member"]).select("use_id", "target_id", F.lit("scoped").alias("resolution"))
 
 
-RULES: dict[str, list[Callable[[Scope], DataFrame]]] = {"php": [php_imports, php_functions, php_receivers], "typescript": [ts_lexical, ts_namespace, ts_receivers]}
+RULES: dict[str, list[Callable[[Scope], DataFrame]]] = {"php": [php_imports, php_functions, php_receivers, php_typed], "typescript": [ts_lexical, ts_namespace, ts_receivers]}
 
 
-def resolve_links(symbols: DataFrame, uses: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_links(symbols: DataFrame, uses: DataFrame, imports: DataFrame, files: DataFrame, locals_: DataFrame | None = None) -> DataFrame:
     """bindings(use_id, target_id, resolution, rule). A language's rules see declarations of that language only."""
     found = None
     for language, rules in RULES.items():
-        scope = Scope(language, symbols, uses, imports, files)
+        scope = Scope(language, symbols, uses, imports, files, locals_)
         for k, rule in enumerate(rules):
             rows = rule(scope).withColumns({"rank": F.lit(k), "rule": F.lit(rule.__name__)})
             one = rows.withColumn("n", F.count("*").over(Window.partitionBy("use_id"))).where("n = 1").drop("n")

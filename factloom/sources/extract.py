@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars as S
 from factloom.sources.lexer import LexError, Token, tokens
 
-RULES = "php-1;typescript-1;facts-1"
+RULES = "php-1;typescript-1;facts-2"
 MAX_TOKENS = 1_000_000
 MAX_USES = 500_000
 #: Words that are no uses of declarations. Fixed values.
@@ -32,6 +32,7 @@ class Facts:
     symbols: list[dict] = field(default_factory=list)
     uses: list[dict] = field(default_factory=list)
     imports: list[dict] = field(default_factory=list)
+    locals: list[dict] = field(default_factory=list)  # what variables and typed properties can hold
     diagnostics: list[dict] = field(default_factory=list)
 
 
@@ -58,6 +59,14 @@ class _Reader:
             else:
                 self.t.append(tok)
         self.close = self._pairs()
+        self.open = {b: a for a, b in self.close.items()}
+        self.block_end, ends = [], [len(self.raw)]  # of the braces around each token
+        for k in range(len(self.t)):
+            if k in self.open and self.text(k) == "}":
+                ends.pop()
+            self.block_end.append(ends[-1])
+            if k in self.close and self.text(k) == "{":
+                ends.append(self.t[self.close[k]].end)
         self.facts = Facts()
         self.namespace = ""
 
@@ -106,6 +115,33 @@ class _Reader:
         if len(self.facts.uses) > MAX_USES:
             raise ParseError("too many uses", tok.start)
 
+    def receiver(self, k: int) -> str:
+        """Source of what stands before the joint at k - 1."""
+        joints = ("->", "?->", "::") if self.php else (".", "?.")
+        x = k - 2
+        while x >= 0:
+            while x > 0 and self.text(x) in (")", "]") and x in self.open:
+                x = self.open[x]
+                if self.is_name(x - 1) or x and self.t[x - 1].kind == "var" or self.text(x - 1) in (")", "]"):
+                    x -= 1
+            if x > 1 and self.text(x - 1) in joints:
+                x -= 2
+                continue
+            break
+        x = max(x, 0)
+        return self.raw[self.t[x].start : self.t[k - 2].end].decode()
+
+    def local(self, variable: str, how: str, type_: str | None, at: int, inside: dict | None) -> None:
+        """how: param, property, new, or other for all that may give a variable another value."""
+        self.facts.locals.append({"container": inside["qualified_name"] if inside else None, "container_start": inside["start_byte"] if inside else None, "variable": variable, "how": how, "type": type_, "start_byte": self.t[at].start, "block_end": self.block_end[at], "namespace": self.namespace})
+
+    def sole_type(self, k: int, end: int) -> str | None:
+        """The one class that a PHP type names; none for unions, intersections and built-in types."""
+        names = [x for x in range(k, end) if self.is_name(x) and self.text(x).lower() not in MODIFIERS]
+        if len(names) != 1 or any(self.text(x) in ("|", "&", "...") for x in range(k, end)) or self.text(names[0]).lower() in PHP_WORDS:
+            return None
+        return self.text(names[0])
+
     # declarations
 
     def block(self, k: int, end: int, owner: dict | None, inside: dict | None) -> None:
@@ -222,6 +258,7 @@ class _Reader:
                 for x in range(body, stop):
                     if self.t[x].kind == "var":
                         self.declare("property", x, first, stop - 1, owner, stop - 1)
+                        self.local(self.text(x), "property", self.sole_type(body, x), x, owner)
                         self.expression(x + 1, stop, owner)
                         break
                     if self.is_name(x) and self.text(x).lower() not in PHP_WORDS:
@@ -281,8 +318,11 @@ class _Reader:
             equal = self.until(k, stop, "=")
             promoted = any(self.text(x) in ("public", "private", "protected", "readonly") for x in range(k, equal))
             for x in range(k, equal):
-                if self.php and self.t[x].kind == "var" and promoted and owner:
-                    self.declare("property", x, k, equal - 1, owner, equal - 1)
+                if self.php and self.t[x].kind == "var":
+                    self.local(self.text(x), "param", self.sole_type(k, x), x, inside)
+                    if promoted and owner:
+                        self.declare("property", x, k, equal - 1, owner, equal - 1)
+                        self.local(self.text(x), "property", self.sole_type(k, x), x, owner)
             if self.php:
                 self.types(k, equal, inside)
             else:
@@ -333,11 +373,16 @@ class _Reader:
                     k = self.close[open_] + 1
                     continue
             member = before in ("->", "?->", "::") if self.php else before in (".", "?.")
+            if kind == "var" and before != "::" and text != "$this":
+                if after == "=" and self.text(k + 2) == "new" and self.is_name(k + 3) and self.text(k + 3).lower() not in PHP_WORDS and before in (";", "{", "}"):
+                    self.local(text, "new", self.text(k + 3), k, inside)
+                elif (after.endswith("=") and after not in ("==", "===", "!=", "!==", "<=", ">=")) or after in ("++", "--") or before in ("&", "as", "=>", "global", "static", "++", "--") or (before in ("(", ",", "[") and after in (")", ",", "]")):
+                    self.local(text, "other", None, k, inside)  # assigned, or handed to what may assign it
             if kind == "var" and before == "::":
                 self.use("write" if after == "=" else "read", k, inside, self.text(k - 2))
             elif kind == "name" and member:
-                receiver = self.text(k - 2) if self.is_name(k - 2) or self.t[k - 2].kind == "var" else None
-                called = after == "(" or (not self.php and after == "<" and False)
+                receiver = self.receiver(k)
+                called = after == "("
                 self.use("call" if called else "write" if after == "=" else "read", k, inside, receiver)
             elif kind == "name" and text.lower() not in words and not (not self.php and after == ":" and before in ("{", ",")):
                 if before == "new":
@@ -430,8 +475,9 @@ def extract(language: str, source: bytes) -> Facts:
 _SYMBOL = "struct<kind:string,name:string,qualified_name:string,parent:string,parent_start:long,start_byte:long,end_byte:long,signature:string,doc_comment:string,start_line:int,end_line:int>"
 _USE = "struct<ref_kind:string,spelling:string,start_byte:long,end_byte:long,container:string,container_start:long,receiver:string,relation:string,namespace:string,line:int,col:int>"
 _IMPORT = "struct<kind:string,alias:string,target:string,start_byte:long,end_byte:long,namespace:string>"
+_LOCAL = "struct<container:string,container_start:long,variable:string,how:string,type:string,start_byte:long,block_end:long,namespace:string>"
 _DIAGNOSTIC = "struct<code:string,detail:string,start_byte:long>"
-RAW_SCHEMA = f"file string, language string, symbols array<{_SYMBOL}>, uses array<{_USE}>, imports array<{_IMPORT}>, diagnostics array<{_DIAGNOSTIC}>"
+RAW_SCHEMA = f"file string, language string, symbols array<{_SYMBOL}>, uses array<{_USE}>, imports array<{_IMPORT}>, locals array<{_LOCAL}>, diagnostics array<{_DIAGNOSTIC}>"
 
 
 def _lines(source: bytes, facts: Facts) -> None:
@@ -460,8 +506,8 @@ def raw_facts(files: DataFrame) -> DataFrame:
             for path, language, source in zip(batch["path"], batch["language"], batch["source"], strict=True):
                 facts = extract(language, bytes(source))
                 _lines(bytes(source), facts)
-                rows.append((path, language, facts.symbols, facts.uses, facts.imports, facts.diagnostics))
-            yield pd.DataFrame(rows, columns=["file", "language", "symbols", "uses", "imports", "diagnostics"])
+                rows.append((path, language, facts.symbols, facts.uses, facts.imports, facts.locals, facts.diagnostics))
+            yield pd.DataFrame(rows, columns=["file", "language", "symbols", "uses", "imports", "locals", "diagnostics"])
 
     return files.where("parse_status = 'ok'").select("path", "language", "source").mapInPandas(run, RAW_SCHEMA)
 
@@ -485,4 +531,5 @@ def tables_of(raw: DataFrame) -> dict[str, DataFrame]:
     uses = uses.withColumn("lookup_name", F.when((F.col("language") == "php") & F.col("ref_kind").isin("call", "type", "unknown", "import"), S.ascii_fold(short)).otherwise(short))
     uses = uses.withColumn("use_id", F.xxhash64("file", "start_byte", "end_byte", "ref_kind")).dropDuplicates(["file", "start_byte", "end_byte", "ref_kind"])
     explode = lambda name: raw.select("file", "language", F.explode(name).alias("x")).select("file", "language", "x.*")
-    return {"symbols": symbols, "uses": uses, "imports": explode("imports"), "diagnostics": explode("diagnostics")}
+    local = explode("locals").join(ids.withColumnsRenamed({"_q": "container", "_s": "container_start", "_id": "containing_symbol"}), ["file", "container", "container_start"], "left").drop("container", "container_start")
+    return {"symbols": symbols, "uses": uses, "imports": explode("imports"), "locals": local, "diagnostics": explode("diagnostics")}

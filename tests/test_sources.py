@@ -23,6 +23,19 @@ final class User extends Other implements \\Countable {
 function top(User $u): ?Other { return top($u); }
 """
 BASE = "<?php\nnamespace App\\Base;\nclass Thing { public function go() {} }\n"
+TYPED = """<?php
+namespace App;
+use App\\Base\\Thing;
+class Holder {
+    private Thing $kept;
+    function a(Thing $p) { $p->go(); }
+    function b(Thing $p) { $p = other(); $p->go(); }
+    function c() { $x = new Thing(); $x->go(); $this->kept->go(); }
+    function d($q) { if ($q) { $x = new Thing(); } $x->go(); }
+    function e(Thing $p) { swap($p); $p->go(); }
+    function f(Thing|Holder $p) { $p->go(); }
+}
+"""
 LIB = "<?php\nnamespace App;\nfunction helper($x) { return $x; }\n"
 TS = "import { a as b, type C } from './m';\nimport * as ns from './m';\nexport class Box {\n  size: number = 3;\n  area() { return this.size * ns.a(2) + b(1) }\n}\nfunction f(x: C, y: Box): void { f(x, y) }\n"
 M = "export function a(x: number) { return x }\nexport interface C { n: number }\n"
@@ -39,7 +52,7 @@ def write(root, files):
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "repo"
-    write(root, {"src/User.php": PHP, "src/Thing.php": BASE, "src/lib.php": LIB, "web/box.ts": TS, "web/m.ts": M, "broken.php": "<?php class {", "x.js": "var a", "big.ts": "//" + "x" * 3000, "zero.php": b"<?php\x00", "latin.php": b"<?php // \xe9", "skip/a.php": "<?php", ".gitignore": "skip/\n"})
+    write(root, {"src/User.php": PHP, "src/Thing.php": BASE, "src/lib.php": LIB, "src/Typed.php": TYPED, "web/box.ts": TS, "web/m.ts": M, "broken.php": "<?php class {", "x.js": "var a", "big.ts": "//" + "x" * 3000, "zero.php": b"<?php\x00", "latin.php": b"<?php // \xe9", "skip/a.php": "<?php", ".gitignore": "skip/\n"})
     os.makedirs(root / ".git")
     os.makedirs(root / "nested/.git")
     write(root, {"nested/n.php": "<?php"})
@@ -49,7 +62,7 @@ def tree(tmp_path):
 
 def test_walk_and_read(spark, tree):
     paths = [p for p, _, _ in walk(tree)[0]]
-    assert paths == [".gitignore", "big.ts", "broken.php", "latin.php", "src/Thing.php", "src/User.php", "src/lib.php", "web/box.ts", "web/m.ts", "x.js", "zero.php"]
+    assert paths == [".gitignore", "big.ts", "broken.php", "latin.php", "src/Thing.php", "src/Typed.php", "src/User.php", "src/lib.php", "web/box.ts", "web/m.ts", "x.js", "zero.php"]
     assert discover_root(os.path.join(tree, "src")) == tree
     got = {r["path"]: r["parse_status"] for r in read_tree(spark, tree, Config(max_file_size_kb=2)).collect()}
     assert got["big.ts"] == "size" and got["zero.php"] == "binary" and got["latin.php"] == "encoding" and got["x.js"] == "unsupported" and got["src/User.php"] == "ok"
@@ -81,7 +94,7 @@ def test_extraction(spark, tree):
 
 def test_resolution(spark, tree):
     files, t = facts(spark, tree)
-    links = resolve.resolve_links(t["symbols"], t["uses"], t["imports"], files.where("path LIKE 'src/%' OR path LIKE 'web/%'"))
+    links = resolve.resolve_links(t["symbols"], t["uses"], t["imports"], files.where("path LIKE 'src/%' OR path LIKE 'web/%'"), t["locals"])
     assert links.groupBy("use_id").count().where("count > 1").count() == 0
     got = {(r["file"], r["spelling"], r["ref_kind"], r["line"]): (r["target_id"], r["resolution"]) for r in t["uses"].join(links, "use_id").collect()}
     user = "src/User.php#App\\Model\\User"
@@ -93,6 +106,9 @@ def test_resolution(spark, tree):
     assert ("src/User.php", "\\Countable", "type", 6) not in got
     assert got["web/box.ts", "b", "call", 5] == ("web/m.ts#a", "exact") and got["web/box.ts", "a", "call", 5] == ("web/m.ts#a", "exact")
     assert got["web/box.ts", "size", "read", 5] == ("web/box.ts#Box.size", "scoped") and got["web/box.ts", "C", "type", 7] == ("web/m.ts#C", "exact")
+    typed = t["uses"].where("file = 'src/Typed.php' AND spelling = 'go'").join(links, "use_id", "left").orderBy("start_byte").collect()
+    thing = "src/Thing.php#App\\Base\\Thing::go"
+    assert [(r["line"], r["target_id"]) for r in typed] == [(6, thing), (7, None), (8, thing), (8, thing), (9, None), (10, None), (11, None)]
     edges = resolve.supertype_edges(t["symbols"], t["uses"], links)
     assert {(r["child"], r["relation"], r["qname"], r["parent"]) for r in edges.where("child IS NOT NULL").collect()} == {(user, "extends", "App\\Base\\Thing", "src/Thing.php#App\\Base\\Thing"), (user, "implements", "Countable", None)}
     assert [(r["ancestor"], r["depth"]) for r in hierarchy.ancestors(edges).collect()] == [("src/Thing.php#App\\Base\\Thing", 1)]
@@ -104,12 +120,12 @@ def test_snapshots_and_refresh(spark, tree, tmp_path):
     store = SnapshotStore(str(tmp_path / "store"))
     run = lambda force=False, prints={"rules": "1"}: refresh(store, lambda: read_tree(spark, tree), extract.fact_tables, prints, force=force)  # noqa: B006, E731
     first = run()
-    assert (first["updated"], first["unchanged"], first["deleted"]) == (11, 0, 0)
-    assert run() == {**first, "updated": 0, "unchanged": 11}
+    assert (first["updated"], first["unchanged"], first["deleted"]) == (12, 0, 0)
+    assert run() == {**first, "updated": 0, "unchanged": 12}
     write(tree, {"src/lib.php": LIB + "function more() {}\n", "src/New.php": "<?php class Fresh {}"})
     os.unlink(os.path.join(tree, "web/m.ts"))
     second = run()
-    assert (second["updated"], second["unchanged"], second["deleted"]) == (2, 9, 1)
+    assert (second["updated"], second["unchanged"], second["deleted"]) == (2, 10, 1)
     rows = lambda: sorted(tuple(map(str, r)) for r in store.read(spark, "symbols").select("id", "start_byte", "kind", "parent_id").collect())
     incremental = rows()
     assert run(prints={"rules": "2"})["digest"] == second["digest"] and rows() == incremental
