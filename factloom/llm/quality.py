@@ -1,6 +1,7 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Target texts are the documents labelled quality 1; raw text is every document. Words and word pairs are hashed into
+Target texts are documents labelled quality 1, at most TARGETS of them, those of smallest hash (a documented bound); raw
+text is every document. Words and word pairs are hashed into
 BUCKETS counts (from zlib.crc32, the same everywhere); each model is the smoothed frequencies of its counts. A
 document's weight is its log likelihood ratio, and the k documents of largest weight plus Gumbel noise are a sample
 without replacement in proportion to the weights. The noise comes from the document's id and a seed, so that a lost
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import persisted
 
 BUCKETS = 1 << 14
+TARGETS = 50_000
 KEEP = 0.8  # the sampled share of documents
 SEED = 7
 SMOOTHING = 1.0
@@ -53,7 +55,8 @@ def buckets(text: str) -> np.ndarray:
 
 def model(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(target frequency / raw frequency) of each bucket."""
-    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    good = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGETS).withColumn("good", F.lit(True)))  # bounded, so that texts stay where they are
     marked = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
