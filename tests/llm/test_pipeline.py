@@ -1,5 +1,7 @@
 """The pipeline's stages on planted cases."""
 
+import random
+
 import corpus_pipeline
 from factloom.llm.queries import oracle_sql, queries
 
@@ -37,3 +39,31 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert 5 not in seen["decontamination"] and {1, 3, 4, 6} <= set(seen["decontamination"])
     assert set(seen["bpe"]) == set(seen["decontamination"])
     assert set(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").toPandas()["doc_id"]) == set(seen["bpe"])
+
+
+def test_near_duplicate_stage_equals_brute_force(spark, tmp_path):
+    """Copies with one to four words changed: similarities on both sides of 0.8, chains, and a bridge that isn't a hub."""
+    rng = random.Random(11)
+    texts = []
+    for f in range(12):
+        base = [f"w{f}x{rng.randrange(400)}" for _ in range(100)]
+        texts.append(base)
+        for _ in range(12):
+            copy = list(rng.choice([base, texts[-1]]))
+            for at in rng.sample(range(100), rng.randrange(1, 5)):
+                copy[at] = f"new{rng.randrange(10**9)}"
+            texts.append(copy)
+    texts += [[f"o{k}y{j}" for j in range(30)] for k in range(20)] + [[], ["one", "two"], ["One", "two"]]
+    sets = [{tuple(w.lower() for w in t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    label, links = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                links += 1
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert links > 50
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(label))
