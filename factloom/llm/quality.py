@@ -1,7 +1,6 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Target texts are documents labelled quality 1, at most TARGETS of them, those of smallest hash (a documented bound); raw
-text is every document. Words and word pairs are hashed into
+Target texts are all documents labelled quality 1; raw text is every document. Words and word pairs are hashed into
 BUCKETS counts (from zlib.crc32, the same everywhere); each model is the smoothed frequencies of its counts. A
 document's weight is its log likelihood ratio, and the k documents of largest weight plus Gumbel noise are a sample
 without replacement in proportion to the weights. The noise comes from the document's id and a seed, so that a lost
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import persisted
 
 BUCKETS = 1 << 14
-TARGETS = 50_000
+MOST_IN_PLACE = 8_000_000  # labelled ids (8 bytes each) that are sent to the texts; beyond, texts are joined by shuffle
 KEEP = 0.8  # the sampled share of documents
 SEED = 7
 SMOOTHING = 1.0
@@ -55,14 +54,28 @@ def buckets(text: str) -> np.ndarray:
 
 def model(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(target frequency / raw frequency) of each bucket."""
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    good = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGETS).withColumn("good", F.lit(True)))  # bounded, so that texts stay where they are
-    marked = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    marked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    in_place = ids.count() <= MOST_IN_PLACE
+    if in_place:  # texts stay where they are
+        shared = documents.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64)))
+    else:
+        marked = marked.join(ids.withColumn("good", F.lit(True)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+
+    def good(batch: pa.RecordBatch) -> list[bool]:
+        if not in_place:
+            return batch.column("good").to_pylist()
+        at, targets = batch.column("doc_id"), shared.value
+        if not len(targets):
+            return [False] * len(at)
+        values = at.fill_null(0).to_numpy(zero_copy_only=False)
+        found = targets[np.minimum(np.searchsorted(targets, values), len(targets) - 1)] == values
+        return (found & at.is_valid().to_numpy(zero_copy_only=False)).tolist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
-            for text, is_good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
+            for text, is_good in zip(batch.column("text").to_pylist(), good(batch), strict=True):
                 n = np.bincount(buckets(text), minlength=BUCKETS)
                 sums[0] += n
                 if is_good:

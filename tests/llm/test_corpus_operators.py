@@ -374,3 +374,19 @@ def test_extra_columns_with_clashing_names(spark):
     assert secret_scan.scan(rows).count() == simhash.near_duplicates(rows).count() == toxicity.scored(rows, labels).count() == quality.resampled(rows, labels).count() == bpe.encode_digests(rows).count() == 2
     assert line_dedup.deduplicated(rows.drop("row", "spans")).count() == 2
     assert toxicity.without_toxic(rows, labels).columns == rows.columns
+
+
+def test_quality_model_counts_every_labelled_document(spark, monkeypatch):
+    n = 60_000
+    rows = spark.range(n).selectExpr("nullif(id, 7) AS doc_id", "concat('w', id % 997, ' v', id % 13) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id < 55000 AS int) AS quality", "0 AS toxic")
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for k in range(n):
+        at = quality.buckets(f"w{k % 997} v{k % 13}")
+        np.add.at(raw, at, 1)
+        if k < 55_000 and k != 7:
+            np.add.at(target, at, 1)
+    share = lambda c: np.log((c + quality.SMOOTHING) / (c + quality.SMOOTHING).sum())
+    assert np.allclose(quality.model(rows, labels), share(target) - share(raw), atol=1e-12)
+    monkeypatch.setattr(quality, "MOST_IN_PLACE", 0)
+    assert np.allclose(quality.model(rows, labels), share(target) - share(raw), atol=1e-12)
