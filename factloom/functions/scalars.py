@@ -110,7 +110,7 @@ def collapsed_whitespace(c: Column) -> Column:
 def line_of(source: Column, byte: Column) -> Column:
     """1-based line of a byte offset in a binary source: line feeds before it, plus one."""
     head = F.hex(F.substring(source, F.lit(1), byte.cast("int")))
-    return (F.regexp_count(head, F.lit("(?:[0-9A-F]{2})*?0A")) + 1).cast("int")
+    return (F.regexp_count(head, F.lit(r"\G(?:[0-9A-F]{2})*?0A")) + 1).cast("int")
 
 
 def content_hash(content: Column) -> Column:

@@ -71,6 +71,17 @@ def x32_line_of_byte(spark, d):
     return t.select("doc_id", S.line_of(F.col("text").cast("binary"), F.octet_length(head)).cast("long").alias("line"))
 
 
+@query("SELECT page_id, n AS line, length(string_split(html, '>')[n]) AS width FROM (SELECT page_id, html, unnest(range(1, len(string_split(html, '>')) + 1)) AS n FROM pages)")
+def x32_all_line_starts(spark, d):
+    parts = B.table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", ">")).alias("pos", "part"))
+    return parts.select("page_id", (F.col("pos") + 1).cast("long").alias("line"), F.length("part").cast("long").alias("width"))
+
+
+@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS line FROM documents")
+def x32_line_of_end(spark, d):
+    return B.table(spark, d, "documents").select("doc_id", S.line_of(F.col("text").cast("binary"), F.octet_length("text")).cast("long").alias("line"))
+
+
 @query(f"WITH {B.SYMBOLS_SQL} SELECT id, CASE WHEN n > 1 THEN k END AS ordinal FROM (SELECT id, count(*) OVER (PARTITION BY file, qualified_name) AS n, row_number() OVER (PARTITION BY file, qualified_name ORDER BY start_byte, end_byte, kind, id) AS k FROM sy)")
 def x34_ordinals(spark, d):
     return lookup.with_ordinals(B.symbols(spark, d), ["id"]).select("id", "ordinal")
@@ -395,6 +406,11 @@ def t02_symbol_order(spark, d):
     return B.symbols(spark, d).orderBy(*lookup.symbol_order()).limit(50).select("id", "name", "qualified_name")
 
 
+@query(WITH_FACTS + "SELECT id, name, qualified_name FROM sy ORDER BY file, start_byte, id")
+def t02_all_symbols_in_order(spark, d):
+    return B.symbols(spark, d).orderBy(*lookup.symbol_order()).select("id", "name", "qualified_name")
+
+
 @query(WITH_FACTS + "SELECT containing_symbol, use_id, total, CASE WHEN total > 15 THEN 15 END AS next_offset FROM (SELECT containing_symbol, use_id, count(*) OVER (PARTITION BY containing_symbol) AS total, row_number() OVER (PARTITION BY containing_symbol ORDER BY file, start_byte, end_byte, ref_kind, coalesce(target_id, '')) - 1 AS k FROM us) WHERE k >= 5 AND k < 15")
 def t03_pages(spark, d):
     _, u, b = B.facts(spark, d)
