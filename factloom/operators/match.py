@@ -69,6 +69,35 @@ def counts_by_resolution(matches: DataFrame, targets: DataFrame) -> DataFrame:
     return out.na.fill(0)
 
 
+def _keyed_symbols(symbols: DataFrame) -> DataFrame:
+    return symbols.select("id", F.col("language").alias("_language"), F.col("kind").alias("_kind"), S.match_key(F.col("language"), F.col("kind"), F.col("name")).alias("_key"))
+
+
+def _by_key(uses: DataFrame, symbols: DataFrame) -> DataFrame:
+    """uses once per kind of their language, with the key that a symbol of that kind would have."""
+    kinds = symbols.select("language", F.col("kind").alias("_kind")).distinct()
+    keyed = uses.join(F.broadcast(kinds), "language").withColumn("_key", S.match_key(F.col("language"), F.col("_kind"), F.col("spelling")))
+    return keyed.withColumnRenamed("language", "_language")
+
+
+def candidate_counts(symbols: DataFrame, uses: DataFrame, bindings: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """target, n_exact, n_scoped, n_name_match, total of every symbol in mode candidates, as counts_by_resolution of
+    references has them. Uses are counted by key and by target before they meet the symbols; a symbol's own bound uses
+    of its name are taken off again."""
+    linked = bound_uses(uses, bindings)
+    if kinds:
+        linked = linked.where(F.col("ref_kind").isin(kinds))
+    wanted = _keyed_symbols(symbols)
+    named = _by_key(linked.groupBy("language", "spelling").agg(F.count("*").alias("n")), symbols).groupBy("_language", "_kind", "_key").agg(F.sum("n").alias("_named"))
+    per_target = linked.where("target_id IS NOT NULL").groupBy("target_id", "language", "spelling", "resolution").agg(F.count("*").alias("n"))
+    bound = per_target.join(wanted, F.col("target_id") == F.col("id"))
+    same = (F.col("language") == F.col("_language")) & (S.match_key(F.col("_language"), F.col("_kind"), F.col("spelling")) == F.col("_key"))
+    own = bound.groupBy("id").agg(*(F.sum(F.when(F.col("resolution") == r, F.col("n"))).alias(f"_{r}") for r in S.RESOLUTIONS), F.sum("n").alias("_bound"), F.sum(F.when(same, F.col("n"))).alias("_same"))
+    both = wanted.join(own, "id", "left").join(named, ["_language", "_kind", "_key"], "left").na.fill(0)
+    others = F.col("_named") - F.col("_same")
+    return both.select(F.col("id").alias("target"), F.col("_exact").alias("n_exact"), F.col("_scoped").alias("n_scoped"), (F.col("_name_match") + others).alias("n_name_match"), (F.col("_bound") + others).alias("total"))
+
+
 def reference_order() -> list[Column]:
     return [F.col("file"), F.col("start_byte"), F.col("end_byte"), F.col("ref_kind"), F.coalesce("resolved_target", F.lit(""))]
 
@@ -120,3 +149,16 @@ def exclusion_counts(matches: DataFrame, kind: Column, unrelated: Column) -> Dat
     open_ = F.col("resolution") == "name_match"
     form = open_ & ~form_compatible(kind, F.col("ref_kind"), F.col("receiver").isNotNull())
     return matches.groupBy("target").agg(F.count_if(form).alias("by_form"), F.count_if(open_ & ~form & unrelated).alias("by_receiver"), F.count_if(~form & ~(open_ & unrelated)).alias("kept"))
+
+
+def exclusion_counts_of_all(symbols: DataFrame, uses: DataFrame, bindings: DataFrame, unrelated: Column) -> DataFrame:
+    """exclusion_counts of the references of every symbol, counted by key and by target before they meet the symbols.
+    unrelated may use columns of uses and _kind."""
+    linked = bound_uses(uses, bindings)
+    names = ["by_form", "by_receiver", "kept"]
+    form = ~form_compatible(F.col("_kind"), F.col("ref_kind"), F.col("receiver").isNotNull())
+    free = _by_key(linked.where("target_id IS NULL"), symbols).groupBy("_language", "_kind", "_key").agg(F.count_if(form).alias("by_form"), F.count_if(~form & unrelated).alias("by_receiver"), F.count_if(~form & ~unrelated).alias("kept"))
+    named = _keyed_symbols(symbols).join(free, ["_language", "_kind", "_key"]).select(F.col("id").alias("target"), *names)
+    targets = symbols.select(F.col("id").alias("target"), F.col("kind").alias("_kind"))
+    direct = exclusion_counts(linked.join(targets, F.col("target_id") == F.col("target")), F.col("_kind"), unrelated)
+    return direct.unionByName(named).groupBy("target").agg(*(F.sum(c).alias(c) for c in names))

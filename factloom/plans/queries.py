@@ -170,6 +170,11 @@ def j03_candidates(spark, d):
     return match.counts_by_resolution(match.references(t, u, b, "candidates", ["call"]), t)
 
 
+@query()
+def j03_all_candidates(spark, d):
+    return match.candidate_counts(*B.facts(spark, d), ["call"])
+
+
 @query(WITH_FACTS + "SELECT containing_symbol AS container, ref_kind, coalesce(resolution, 'name_match') AS resolution, count(*) AS n FROM us WHERE containing_symbol IN (SELECT id FROM sy) GROUP BY ALL")
 def j04_contained_uses(spark, d):
     return match.contained_uses(*B.facts(spark, d)).groupBy("container", "ref_kind", "resolution").agg(F.count("*").alias("n"))
@@ -209,6 +214,11 @@ def j20_exclusions(spark, d):
     return match.exclusion_counts(match.references(t, u, b), F.lit("method"), F.col("use_id") % 5 == 0)
 
 
+@query()
+def j20_all_exclusions(spark, d):
+    return match.exclusion_counts_of_all(*B.facts(spark, d), F.col("use_id") % 5 == 0)
+
+
 WITH_EDGES = f"WITH {B.SUPERTYPES_SQL} "
 
 
@@ -266,6 +276,18 @@ def g09_traversal(spark, d):
     return context.traversal(s, u, b, t, depth=2)
 
 
+@query()
+def g08_all_neighbours(spark, d):
+    s, u, b = B.facts(spark, d)
+    return context.traversal(s, u, b, s.select("id"), depth=1)
+
+
+@query()
+def g09_all_traversal(spark, d):
+    s, u, b = B.facts(spark, d)
+    return context.traversal(s, u, b, s.select("id"), depth=2)
+
+
 @query("SELECT (SELECT count(*) FROM part) AS n_symbols, (SELECT count(*) FROM orders) AS n_files")
 def a01_counts(spark, d):
     a, b = B.table(spark, d, "part").agg(F.count("*").alias("n_symbols")), B.table(spark, d, "orders").agg(F.count("*").alias("n_files"))

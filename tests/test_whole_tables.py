@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
+from factloom.operators import match
+from factloom.plans import bridge as B
 from factloom.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
@@ -32,3 +34,41 @@ def test_symbols_in_order(spark):
 def test_line_of_counts_whole_bytes_only(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(S.line_of(F.col("t").cast("binary"), F.octet_length("t")).alias("n"))
     assert row.first()["n"] == text.count("\n") + 1
+
+
+def small_facts(spark):
+    """Shared names, a use bound under another spelling, one bound as name_match, two languages, names without uses."""
+    symbols = spark.createDataFrame([("a", "php", "method", "run"), ("b", "php", "method", "Run"), ("c", "php", "class", "RUN"), ("d", "typescript", "function", "run"), ("e", "php", "function", "none")], "id string, language string, kind string, name string")
+    rows = [(k, ("php", "typescript")[k % 4 == 3], ("run", "RUN", "other")[k % 3], ("call", "type", "read")[k % 5 % 3], "$this" if k % 2 else None) for k in range(60)]
+    uses = spark.createDataFrame(rows, "use_id long, language string, spelling string, ref_kind string, receiver string")
+    bindings = spark.createDataFrame([(k, "abcd"[k % 7 % 4], ("exact", "scoped", "name_match")[k % 3 if k % 11 else 2]) for k in range(0, 60, 2)], "use_id long, target_id string, resolution string")
+    return symbols, uses, bindings
+
+
+def test_candidate_counts_of_all_symbols(spark):
+    columns = ["target", "n_exact", "n_scoped", "n_name_match", "total"]
+    for facts in (small_facts(spark), B.facts(spark, DATA)):
+        for kinds in (["call"], None):
+            wanted = match.counts_by_resolution(match.references(*facts, "candidates", kinds), facts[0]).select(*columns).collect()
+            assert sorted(map(tuple, match.candidate_counts(*facts, kinds).select(*columns).collect())) == sorted(map(tuple, wanted))
+    assert plans.queries()["j03_all_candidates"](spark, DATA).count() == B.symbols(spark, DATA).count()
+
+
+def test_exclusions_of_all_symbols(spark):
+    unrelated = F.col("use_id") % 5 == 0
+    for facts in (small_facts(spark), B.facts(spark, DATA)):
+        kinds = facts[0].select(F.col("id").alias("target"), F.col("kind").alias("_kind"))
+        wanted = match.exclusion_counts(match.references(*facts).join(kinds, "target"), F.col("_kind"), unrelated).collect()
+        assert sorted(map(tuple, match.exclusion_counts_of_all(*facts, unrelated).collect())) == sorted(map(tuple, wanted))
+    assert plans.queries()["j20_all_exclusions"](spark, DATA).count() > 0
+
+
+def test_neighbours_of_all_symbols(spark):
+    """Every symbol with neighbours gets its rows, as when it is asked for alone."""
+    for name, depth in (("g08_all_neighbours", 1), ("g09_all_traversal", 2)):
+        rows = plans.queries()[name](spark, DATA).collect()
+        s, u, b = B.facts(spark, DATA)
+        some = s.orderBy(F.xxhash64("id")).limit(3).select("id")
+        ids = {r["id"] for r in some.collect()}
+        alone = plans.context.traversal(s, u, b, some, depth=depth).collect()
+        assert sorted(map(tuple, alone)) == sorted(tuple(r) for r in rows if r["target"] in ids) and len({r["target"] for r in rows}) > 3
