@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
 
-MOST_LEVELS = 64
-
 
 def direct_supertypes(edges: DataFrame) -> DataFrame:
     """Each supertype of a child once (identity: its id, else its folded name), extends before implements, then by name."""
@@ -28,8 +26,9 @@ def ancestors(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """
     links = edges.where("parent IS NOT NULL").select(F.col("child").alias("_from"), F.col("parent").alias("_to")).distinct()
     frontier = (starts if starts is not None else edges.select(F.col("child").alias("id"))).select("id", F.col("id").alias("_at")).distinct()
-    known = None
-    for depth in range(1, MOST_LEVELS + 1):
+    known, depth = None, 0
+    while True:  # ends, as what is known is taken away
+        depth += 1
         step = frontier.join(links, F.col("_at") == F.col("_from")).where("_to <> id").select("id", F.col("_to").alias("ancestor")).distinct()
         if known is not None:
             step = step.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
-from factloom.operators import match
+from factloom.operators import hierarchy, match
 from factloom.plans import bridge as B
 from factloom.plans import queries as plans
 
@@ -72,3 +72,11 @@ def test_neighbours_of_all_symbols(spark):
         ids = {r["id"] for r in some.collect()}
         alone = plans.context.traversal(s, u, b, some, depth=depth).collect()
         assert sorted(map(tuple, alone)) == sorted(tuple(r) for r in rows if r["target"] in ids) and len({r["target"] for r in rows}) > 3
+
+
+def test_ancestors_of_deep_chains(spark, monkeypatch):
+    """A chain longer than any bound on levels, which would be lowered here to keep the test short."""
+    monkeypatch.setattr(hierarchy, "MOST_LEVELS", 2, raising=False)
+    edges = spark.createDataFrame([(f"c{k}", "extends", f"c{k + 1}", f"c{k + 1}") for k in range(5)], "child string, relation string, qname string, parent string")
+    got = {(r["ancestor"], r["depth"]) for r in hierarchy.ancestors(edges).where("id = 'c0'").collect()}
+    assert got == {(f"c{k}", k) for k in range(1, 6)}
