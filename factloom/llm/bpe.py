@@ -3,9 +3,12 @@
 Texts are cut into words by the tokenizer's own pattern. For each word that isn't a token itself, greedy longest
 match proposes tokens; a sequence is the BPE result exactly if no merge could ever cross the boundary of an
 adjacent pair, which one vectorised check answers for all pairs of a batch at once. Only words with a failing pair
-are merged step by step. Words and pairs already answered are kept in bounded caches.
+are merged step by step. Words and pairs already answered are kept in caches that are bounded in bytes and emptied when
+a task ends; words of over CACHED_LETTERS letters are kept only for the texts at hand.
 
-Defined cases: a null text is empty (no tokens); a row with a null doc_id keeps it; an empty table gives no rows.
+Texts are taken a few at a time (common.slices), so memory is bounded by the longest text, which is encoded whole.
+Defined cases: a null text is empty (no tokens); a row with a null doc_id keeps it; repeated rows are encoded each; an
+empty table gives no rows; further columns of any name are left out of the result.
 """
 
 from __future__ import annotations
@@ -17,13 +20,17 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS = 700_000
-CACHED_PAIRS = 400_000
+from factloom.llm.common import slices
+
+CACHED_BYTES = 48 << 20  # of words and their tokens
+CACHED_LETTERS = 48
+CACHED_PAIRS = 100_000
+_LEARNED = 20_000  # different words that are learned at once
 SCANNED_BYTES = 48
 _NONE = np.iinfo(np.int64).max
 _NO_MERGE = (_NONE, -1)
@@ -65,14 +72,21 @@ class Bpe:
             left[z], right[z], rank[z] = x, y, k
         self._pairs_setup(left, right, rank)
         self.id_of_byte = [self.id_of[bytes([b])] for b in range(256)]
-        self.longest: dict[bytes, int] = {}  # of tokens by their first two bytes
+        self.longest: dict[int, dict[bytes, int]] = {4: {}, 7: {}}  # of tokens by their first 4 and 7 bytes
         for b in self.id_of:
-            self.longest[b[:2]] = max(len(b), self.longest.get(b[:2], 1))
+            for k, most in self.longest.items():
+                if len(b) >= k:
+                    most[b[:k]] = max(len(b), most.get(b[:k], k))
         self.words = regex.compile(pattern)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.known_bytes = 0
         self.fits: dict[int, bool] = {}
 
+    def release(self) -> None:
+        """Empties the caches, so that a reused worker doesn't carry them into its next task."""
+        self.known, self.known_bytes, self.fits = {}, 0, {}
+
     def _pairs_setup(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> None:
         """For each token its chain of last (first) parts, and for each part the rank at which it is merged away."""
         n = len(rank)
@@ -119,11 +133,13 @@ class Bpe:
 
     def greedy(self, word: bytes) -> list[int]:
         """Longest match from the left; every byte is a token, so it always ends."""
-        out, at, ids, n, longest = [], 0, self.id_of, len(word), self.longest
+        out, at, ids, n = [], 0, self.id_of, len(word)
+        by4, by7 = self.longest[4], self.longest[7]
         while at < n:
-            end = at + longest.get(word[at : at + 2], 1)
-            if end > n:
-                end = n
+            most = by4.get(word[at : at + 4], 3)
+            if most > 6:
+                most = by7.get(word[at : at + 7], 6)
+            end = min(at + most, n)
             while (i := ids.get(word[at:end])) is None:
                 end -= 1
             out.append(i)
@@ -171,12 +187,13 @@ class Bpe:
                 heappush(heap, (m[0], p, m[1], ids[p], z))
         return [i for i in ids if i >= 0]
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the tokens of all words into the cache: single tokens, verified proposals, exact merges for the rest."""
+    def learned(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """The tokens of all words: single tokens, verified proposals, exact merges for the rest."""
         if len(self.fits) > CACHED_PAIRS:
             self.fits.clear()
+        known: dict[str, tuple[int, ...]] = {}
         proposals: list[tuple[str, bytes, list[int]]] = []
-        known, ids = self.known, self.id_of
+        ids = self.id_of
         for w in words:
             raw = w.encode()
             if (i := ids.get(raw)) is not None:
@@ -184,7 +201,7 @@ class Bpe:
             else:
                 proposals.append((w, raw, self.greedy(raw)))
         if not proposals:
-            return
+            return known
         flat = np.fromiter((i for _, _, p in proposals for i in p), np.int64)
         lengths = np.fromiter((len(p) for _, _, p in proposals), np.int64, len(proposals))
         last = np.cumsum(lengths) - 1
@@ -208,6 +225,7 @@ class Bpe:
         bad[word_of[at[~fit_of[of]]]] = True
         for (w, raw, p), failed in zip(proposals, bad.tolist(), strict=True):
             known[w] = tuple(self.merged(raw)) if failed else tuple(p)
+        return known
 
     def pieces(self, text: str) -> list[tuple[str | None, str]]:
         """(special token or None, text) in order; special strings are cut out first, the leftmost and longest."""
@@ -228,16 +246,21 @@ class Bpe:
             group.append(cut)
             for _, words in cut:
                 fresh.update(words)
-            if len(fresh) > CACHED_WORDS // 8:
+            if len(fresh) > _LEARNED:
                 out += self._encoded(group, fresh)
                 group, fresh = [], set()
         return out + self._encoded(group, fresh)
 
     def _encoded(self, group: list, fresh: set[str]) -> list[list[int]]:
-        if len(self.known) + len(fresh) > CACHED_WORDS:  # what this batch needs stays
-            self.known = {w: self.known[w] for w in fresh.intersection(self.known)}
-        self.learn(fresh.difference(self.known))
-        known, out = self.known, []
+        new = self.learned(fresh.difference(self.known))
+        known, out = {**{w: self.known[w] for w in fresh.intersection(self.known)}, **new}, []
+        if self.known_bytes > CACHED_BYTES:  # what these texts need stays
+            self.known, self.known_bytes = {}, 0
+            new = known
+        for w, t in new.items():
+            if len(w) <= CACHED_LETTERS:
+                self.known[w] = t
+                self.known_bytes += 150 + 2 * len(w) + 8 * len(t)  # about
         for cut in group:
             ids: list[int] = []
             for special, words in cut:
@@ -252,7 +275,7 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def loaded(path: str, pattern: str) -> Bpe:
     return Bpe(path, pattern)
 
@@ -266,32 +289,37 @@ def default_vocabulary() -> tuple[str, str]:
 ENCODED_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _batches(documents: DataFrame, row, columns: list[str], schema: str, path: str | None, pattern: str | None) -> DataFrame:
+def _batches(documents: DataFrame, row, schema: str, path: str | None, pattern: str | None) -> DataFrame:
+    """doc_id and, for each text's ids, the arrays of row(bpe, all ids of a part)."""
     default = None if path and pattern else default_vocabulary()
     path, pattern = path or default[0], pattern or default[1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            out = pd.DataFrame([row(bpe, ids) for ids in bpe.encode_batch(texts)], columns=columns)
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out
+        try:
+            for batch in slices(batches, 512):
+                columns = row(bpe, bpe.encode_batch(batch.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns.values()], ["doc_id", *columns])
+        finally:
+            bpe.release()
 
-    kept = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return kept.mapInPandas(run, schema)
+    kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return kept.mapInArrow(run, schema)
 
 
 def encode_digests(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Token counts and digests of ids (little-endian unsigned 32-bit) and of the text decoded from them."""
 
-    def row(bpe: Bpe, ids: list[int]) -> tuple:
-        decoded = bpe.decode(ids)
-        return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def row(bpe: Bpe, found: list[list[int]]) -> dict:
+        return {
+            "n_tokens": pa.array(list(map(len, found)), pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() for ids in found], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in found], pa.string()),
+        }
 
-    return _batches(documents, row, ["n_tokens", "ids_sha256", "decoded_sha256"], ENCODED_SCHEMA, path, pattern)
+    return _batches(documents, row, ENCODED_SCHEMA, path, pattern)
 
 
 def encode(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and the ids themselves."""
-    return _batches(documents, lambda bpe, ids: (ids,), ["ids"], "doc_id long, ids array<int>", path, pattern)
+    return _batches(documents, lambda bpe, found: {"ids": pa.array(found, pa.list_(pa.int32()))}, "doc_id long, ids array<int>", path, pattern)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir[0]}"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows and about so many bytes (a longer row is a part by itself), so that
+    what Python makes of a part stays small, whatever the batch is."""
+    for batch in batches:
+        at, n = 0, max(1, min(rows, int(batch.num_rows * size / max(1, batch.nbytes))))
+        while at < batch.num_rows:
+            part = batch.slice(at, n)
+            while part.num_rows > 1 and part.nbytes > size:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
 
@@ -48,6 +63,12 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(documents: DataFrame, name: str = "numbered") -> DataFrame:
+    """(row, doc): each row under a number of its own, with all its columns in one struct, so that repeated or null ids
+    don't mix up rows and no column clashes with an operator's own. Written once, so that the numbers stay."""
+    return persisted(documents.select(F.monotonically_increasing_id().alias("row"), F.struct(*documents.columns).alias("doc")), name)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     """A broadcast hint only where the counted rows stay under the bound; Spark shuffles both sides otherwise."""
     return F.broadcast(df) if rows <= most_rows else df

@@ -44,13 +44,13 @@ def vocabulary(windows: DataFrame) -> DataFrame:
     return windows.select(F.explode("words").alias("term")).distinct().select("term", F.monotonically_increasing_id().alias("term_id"))
 
 
-def build_index(documents: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def build_index(documents: DataFrame, terms: DataFrame | None = None, row: str | None = None) -> DataFrame:
     """Postings (row, doc_id, term_id, pos), stored sorted by term in each shard; term_id -1 has the number of words.
 
     terms (term, term_id) restricts the index to the terms that will ever be asked for; without it every term is
-    stored and numbered by its hash.
+    stored and numbered by its hash. row: a column of documents that numbers its rows; they are numbered here without it.
     """
-    numbered = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.concat(words(F.col("text")), F.array(F.lit(_END))).alias("words"))
+    numbered = documents.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.concat(words(F.col("text")), F.array(F.lit(_END))).alias("words"))
     each = numbered.select("row", "doc_id", F.posexplode("words").alias("pos", "term"))
     if terms is None:
         found = each.select("row", "doc_id", F.when(F.col("term") == _END, F.lit(-1)).otherwise(F.shiftrightunsigned(F.xxhash64("term"), 1)).alias("term_id"), "pos")
@@ -105,11 +105,12 @@ def proximity_matches(index: DataFrame, windows: DataFrame, terms: DataFrame, sl
     return found.select("row", "window_id", F.col("at").alias("near")).unionByName(alone)
 
 
-def contamination(documents: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+def contamination(documents: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, row: str | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document; row as well, if documents have such
+    a column that numbers them."""
     windows = persisted(test_windows(items, size), "windows")
     terms = persisted(vocabulary(windows), "terms")
-    index = build_index(documents, terms)
+    index = build_index(documents, terms, row)
     found = phrase_matches(index, windows, terms)
     named = found.join(broadcast_if_small(windows.select("window_id", "item_ids"), windows.count(), BROADCAST_ROWS), "window_id")
     # words covered by the union of the intervals, walked in order
@@ -123,7 +124,7 @@ def contamination(documents: DataFrame, items: DataFrame, size: int = WINDOW_WOR
     every = index.where("term_id = -1").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return every.join(hits, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+        *(["row"] if row else []), "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 

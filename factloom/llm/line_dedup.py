@@ -1,16 +1,18 @@
 """Line deduplication with content-defined chunks, in DataFrame operations only.
 
 A document's non-blank lines are hashed. A rolling hash over two line hashes chooses chunk boundaries: they depend
-on the lines there and nothing before, so text inserted elsewhere doesn't shift them. Since a passage may be too
-short to hold two boundaries, the shortest run of lines of over MIN_WORDS words from each line on is a chunk too;
-every repeated passage of whole lines and more words contains one. Chunks that occur more than once over all
-documents lose all but their first occurrence (smallest document, then line), after their lines' bytes have been
+on the lines there and nothing before, so text inserted elsewhere doesn't shift them. A passage may be too short to hold
+two boundaries, and its first and last lines may lie outside of its chunks; so, besides, the shortest run of lines of over
+MIN_WORDS words from each line on, and up to each line, is a chunk (one line, if it is that long). Every repeated passage
+of whole lines and more words is covered by such runs, to its first and last line. Chunks that occur more than once over
+all documents lose all but their first occurrence (smallest doc_id, then line), after their lines' bytes have been
 compared: a line hash that stands for two different lines keeps every chunk with it in place.
 
-Words of a line are its blanks (U+0020) plus one. Lines end at line feeds. Every removed line stands, as part of the
-same passage, earlier in the order of documents; a passage that overlaps its own repetition keeps its beginning.
-Defined cases: null texts stay null and empty ones empty; a null doc_id comes first; repeated rows are documents of
-their own; an empty table stays empty; other columns pass through.
+So a line goes exactly if it stands in some run of lines of over MIN_WORDS words that occurs before. Words of a line are
+its blanks (U+0020) plus one. Lines end at line feeds. A passage that overlaps its own repetition keeps its beginning.
+Defined cases: null texts stay null and empty ones empty; rows with a null doc_id come first; of equal ids the rows count
+one after another, in the order they are read; repeated rows are documents of their own; very long texts are taken line
+by line; an empty table stays empty; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import broadcast_if_small, persisted
+from factloom.llm.common import broadcast_if_small, numbered, persisted
 
 MIN_WORDS = 50  # passages of more words go
 DIVISOR = 8  # a boundary after one line in so many, on average
@@ -41,29 +43,24 @@ def _hashed(documents: DataFrame) -> DataFrame:
     return _lines(documents).select("row", "line_no", line_hash(line).alias("h"), (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long").alias("w"))
 
 
-def with_row(documents: DataFrame) -> DataFrame:
-    """documents with a unique row number: doc_id itself where it is unique, else one written to the shared folder once."""
-    n, ids = documents.select(F.count("*"), F.countDistinct("doc_id")).first()
-    if n == ids:
-        return documents.withColumn("row", F.col("doc_id").cast("long"))
-    dense = Window.partitionBy("doc_id").orderBy("text")
-    return persisted(documents.withColumn("row", F.struct("doc_id", F.row_number().over(dense).alias("copy"))), "rows")
-
-
 def chunks(lines: DataFrame) -> DataFrame:
     """row, first and last line_no, key (the line hashes) of content-defined chunks and of minimal passages."""
     place = Window.partitionBy("row").orderBy("line_no")
     before = F.coalesce(F.sum("w").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rolled = (F.coalesce(F.lag("h").over(place), F.lit(0)) % MODULUS * FACTOR + F.col("h") % MODULUS) % MODULUS
     marked = lines.select("row", "line_no", "h", "w", before.alias("from"), (rolled % DIVISOR == 0).cast("int").alias("cut"))
-    near = Window.partitionBy("row").orderBy("from").rangeBetween(0, MIN_WORDS)
-    whole = marked.select(
-        "*", F.collect_list("h").over(near).alias("key"), F.last("line_no").over(near).alias("to_line"), F.sum("w").over(near).alias("words"),
+    ahead = Window.partitionBy("row").orderBy("from").rangeBetween(0, MIN_WORDS)
+    back = Window.partitionBy("row").orderBy("upto").rangeBetween(-MIN_WORDS, 0)
+    whole = marked.withColumn("upto", F.col("from") + F.col("w")).select(
+        "*", F.collect_list("h").over(ahead).alias("key"), F.last("line_no").over(ahead).alias("to_line"), F.sum("w").over(ahead).alias("words"),
+        F.collect_list("h").over(back).alias("key_back"), F.first("line_no").over(back).alias("from_line"), F.sum("w").over(back).alias("words_back"),
         F.coalesce(F.sum("cut").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("chunk"),
     )
     short = whole.where(F.col("words") > MIN_WORDS).select("row", F.col("line_no").alias("first"), F.col("to_line").alias("last"), "key")
+    # those that stay over MIN_WORDS without their last line; the others are the shortest from their first line on
+    ended = whole.where(F.col("words_back") - F.col("w") > MIN_WORDS).select("row", F.col("from_line").alias("first"), F.col("line_no").alias("last"), F.col("key_back").alias("key"))
     cut = whole.groupBy("row", "chunk").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "h"))), lambda x: x["h"]).alias("key"), F.sum("w").alias("words"))
-    return short.unionByName(cut.where((F.col("words") > MIN_WORDS) & (F.size("key") > 1)).select("row", "first", "last", "key"))
+    return short.unionByName(ended).unionByName(cut.where((F.col("words") > MIN_WORDS) & (F.size("key") > 1)).select("row", "first", "last", "key"))
 
 
 def _colliding(documents: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -74,7 +71,7 @@ def _colliding(documents: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def removals(documents: DataFrame) -> DataFrame:
-    """row, spans: sorted (first, last) lines to remove. documents: with row and text."""
+    """row, spans: sorted (first, last) lines to remove. documents: row (unique; its order is that of the documents), text."""
     spans = persisted(chunks(_hashed(documents)), "chunks")
     repeated = persisted(spans.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("keep")).where("n > 1").select("key", "keep"), "repeated")
     bad = persisted(_colliding(documents, repeated), "colliding")
@@ -85,23 +82,44 @@ def removals(documents: DataFrame) -> DataFrame:
     return again.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
-    """documents with text replaced, plus n_lines, n_removed and n_removed_chars."""
-    names = documents.columns
-    keyed = with_row(documents)
-    joined = keyed.join(removals(keyed.select("row", "text")), "row", "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    none = F.col("spans").isNull()
+def _cut(documents: DataFrame) -> DataFrame:
+    """doc (a row's columns), text (what is left of it), n_lines, n_removed."""
+    each = numbered(documents)
+    key = F.struct(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("row").alias("n"))
+    n, ids = each.select(F.count("*"), F.countDistinct("doc.doc_id")).first()
+    keyed = each.select((F.col("doc.doc_id").cast("long") if n == ids else key).alias("row"), "doc")
+    joined = keyed.join(removals(keyed.select("row", "doc.text")), "row", "left")
     # spans are merged first, so that every line is looked up in few of them
     merged = F.aggregate(
         "spans", F.array().cast("array<struct<first:int,last:int>>"),
         lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["last"] >= x["first"] - 1), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(a, F.lit(-1))["last"], x["last"]).alias("last"))))).otherwise(F.concat(a, F.array(x))),
     )
-    cut = joined.select(*names, lines.alias("_lines"), F.when(~none, merged).alias("_spans"))
-    kept = F.filter(F.col("_lines"), lambda line, i: ~F.exists(F.col("_spans"), lambda x: (i >= x["first"]) & (i <= x["last"])))
-    new = cut.select(*(n for n in names if n != "text"), F.col("text").alias("_old"), F.size("_lines").alias("_n"), F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), F.when(F.col("_spans").isNull(), 0).otherwise(F.aggregate(F.coalesce("_spans", F.array()), F.lit(0), lambda a, x: a + x["last"] - x["first"] + 1)).alias("_removed"))
-    extra = (F.when(F.coalesce("_old", F.lit("")) == "", 0).otherwise(F.col("_n")).cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), F.coalesce(F.length("_old") - F.length("text"), F.lit(0)).cast("long").alias("n_removed_chars"))
-    return new.select(*(F.col(n) for n in names), *extra)
+    text = F.col("doc.text")
+    cut = joined.select("doc", F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"), F.when(F.col("spans").isNotNull(), merged).alias("spans"))
+    kept = F.filter(F.col("lines"), lambda line, i: ~F.exists(F.col("spans"), lambda x: (i >= x["first"]) & (i <= x["last"])))
+    return cut.select(
+        "doc", F.when(F.col("spans").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("spans").isNull(), 0).otherwise(F.aggregate("spans", F.lit(0), lambda a, x: a + x["last"] - x["first"] + 1)).cast("long").alias("n_removed"),
+    )
+
+
+def trimmed(documents: DataFrame, lengths: str | None = None) -> DataFrame:
+    """documents with text replaced. lengths: a column that follows the text's length, in code points, where it changes."""
+    cut = _cut(documents)
+
+    def column(name: str) -> Column:
+        if name == lengths:
+            return F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("doc")[name]).alias(name)
+        return F.col("text") if name == "text" else F.col("doc")[name].alias(name)
+
+    return cut.select(*map(column, documents.columns))
+
+
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """doc_id, text (what is left), n_lines, n_removed and n_removed_chars of each row."""
+    removed = F.coalesce(F.length("doc.text") - F.length("text"), F.lit(0)).cast("long")
+    return _cut(documents).select("doc.doc_id", "text", "n_lines", "n_removed", removed.alias("n_removed_chars"))
 
 
 ORACLE = rf"""
@@ -109,9 +127,12 @@ WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l
 h AS (SELECT doc_id, line_no, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) + 1 AS w FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
 m AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
     CASE WHEN ((coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY line_no), 0) % {MODULUS} * {FACTOR} + h % {MODULUS}) % {MODULUS}) % {DIVISOR} = 0 THEN 1 ELSE 0 END AS cut FROM h),
+b AS (SELECT doc_id, line_no AS last, min(line_no) OVER back AS first, list(h) OVER back AS key, sum(w) OVER back - w AS shorter
+    FROM m WINDOW back AS (PARTITION BY doc_id ORDER BY s + w RANGE BETWEEN {MIN_WORDS} PRECEDING AND CURRENT ROW)),
 x AS (SELECT *, list(h) OVER near AS key, max(line_no) OVER near AS to_line, sum(w) OVER near AS words, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
     FROM m WINDOW near AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {MIN_WORDS} FOLLOWING)),
 c AS (SELECT doc_id, line_no AS first, to_line AS last, key FROM x WHERE words > {MIN_WORDS}
+    UNION ALL SELECT doc_id, first, last, key FROM b WHERE shorter > {MIN_WORDS}
     UNION ALL SELECT doc_id, min(line_no), max(line_no), list(h ORDER BY line_no) FROM x GROUP BY doc_id, chunk HAVING sum(w) > {MIN_WORDS} AND count(*) > 1),
 r AS (SELECT key, min((doc_id, first)) AS keep FROM c GROUP BY key HAVING count(*) > 1),
 g AS (SELECT DISTINCT c.doc_id, unnest(range(first, last + 1)) AS line_no FROM c JOIN r USING (key) WHERE (c.doc_id, c.first) <> keep),

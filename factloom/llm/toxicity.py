@@ -1,183 +1,301 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Learning uses labelled rows of the training folds only, at most EXAMPLES of label 1 and NEGATIVES of label 0, those of
-smallest hash (a documented bound); label 0 is weighted by its share of all training rows. A text's terms are its lower-cased words of up to GRAM letters and the GRAM-letter grams of longer ones; those whose
-document frequency differs between the labels are the vocabulary, if they are in LEAST_SHARE of one label's examples. Examples are unit TF-IDF vectors in an inverted
-index cut into blocks of BLOCK postings, each with its largest weight; a query skips blocks of examples whose bound
-can't reach its K-th best, so its neighbours are exact. Votes are weighted by closeness, and a table of vote to
-frequency, made from leave-one-out votes of the examples and made monotone, turns the vote into a probability.
-
-The fitted model is bounded by EXAMPLES and TERMS and is sent to the tasks with the function; scoring is one narrow
-pass over whole texts. Labels, lang, source and doc_id never enter a score. Defined cases: a null or empty text, and
-one without any vocabulary term, gets the frequency of label 1 among such examples; without labelled rows of both
-kinds every score is the share of label 1 (0.5 where there are none). Null ids are never held out nor learned from.
+smallest hash (a documented bound). Terms are whole lower-cased words and word beginnings of PREFIXES letters, each with
+the levels that its frequency reaches in the text: 1, 2, 4 ... occurrences, and (from two occurrences on) one in 16, 32
+... 1,024 words. Levels state the term frequency, so that one chance occurrence and a text full of a word differ although
+vectors are unit vectors. A term weighs its inverse document frequency times the part of its log odds between the labels
+that SIGMA standard errors leave; terms whose odds show nothing weigh nothing. No term is left out for its rank.
+
+Examples are unit vectors in an inverted index cut into blocks of BLOCK examples, each with its largest weight by term; a
+query skips blocks whose bound can't reach its K-th best, so its neighbours are exact. Votes are weighted by closeness,
+label 0 by its share of all training rows, and a table of vote to frequency, made from leave-one-out votes of the
+examples and made monotone, turns the vote into a probability.
+
+Counting the examples' terms runs on the executors; the driver gets the terms with a weight and the examples' vectors,
+both bounded by the number of examples, never their texts. Scoring is one narrow pass over whole texts of any length.
+Labels, lang, source and doc_id never enter a score. Defined cases: a null or empty text, and one without any weighted
+term, gets the frequency of label 1 among such examples; without labelled rows of both kinds every score is the share of
+label 1 (0.5 where there are none). Equally near examples count by smaller doc_id. Rows with null ids are scored, but
+never held out nor learned from; of repeated ids the smallest text is the example; repeated rows are scored each; an
+empty table gives no rows; extra columns of any name pass through `without_toxic` untouched.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import persisted, slices
+
 EXAMPLES = 1500
 NEGATIVES = 4500
-TERMS = 3000
-GRAM = 5
-K = 15
+PREFIXES = range(3, 8)
+RATES = range(4, 11)  # one in 2**k words
+SIGMA = 3.5
+K = 9
 BLOCK = 64
+BINS = 50
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-LOG_ODDS = 2.5  # a term whose odds between the labels differ by less (as a logarithm) isn't in the vocabulary
-LEAST_SHARE = 0.015  # nor is one in a smaller share of each label's examples: rare terms differ by chance
-LEAST_EXAMPLES = 3
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHED = 300_000
+_CACHED_WORDS, _CACHED_LETTERS, _CACHED_SCORES, _CACHED_TERMS = 50_000, 32, 5_000, 32
+_COUNTED = 400_000  # different terms that one task holds before it hands them on
+_FIRST_BLOCKS = 4
+
+
+def grams(word: str) -> list[str]:
+    """The whole word, then its proper beginnings."""
+    return ["=" + word, *("^" + word[:k] for k in PREFIXES if k < len(word))]
+
+
+def gram_counts(words: Iterable[tuple[Iterable[str], int]]) -> dict[str, int]:
+    """Occurrences of each gram; words: the grams of a word and how often it occurs."""
+    out: dict[str, int] = {}
+    for found, n in words:
+        for g in found:
+            out[g] = out.get(g, 0) + n
+    return out
+
 
+def levels(n: int, words: int) -> list[int]:
+    """What n occurrences among so many words reach: k for 2**k occurrences, -k for one in 2**k words."""
+    reached = list(range(n.bit_length()))
+    return reached + [-k for k in RATES if n << k >= words] if n > 1 else reached
 
-def word_terms(word: str) -> list[str]:
-    return [word] if len(word) <= GRAM else [word[k : k + GRAM] for k in range(len(word) - GRAM + 1)]
 
+def terms(text: str) -> list[str]:
+    """Every term of the text: a gram, for its presence, and the gram with each further level."""
+    words = _WORD.findall(text.lower())
+    counts = gram_counts((grams(word), n) for word, n in Counter(words).items())
+    return [*counts, *(f"{g} {k}" for g, n in counts.items() if n > 1 for k in levels(n, len(words)) if k)]
 
-def terms(text: str) -> set[str]:
-    return {t for word in set(_WORD.findall(text.lower())) for t in word_terms(word)}
+
+def weight(n1: F.Column, n0: F.Column, all1: int, all0: int, sigma: float = SIGMA) -> F.Column:
+    """Of a term in n1 and n0 examples of either label; negative or zero where its odds may be chance."""
+    a, b, c, d = n1 + 0.5, n0 + 0.5, F.lit(all1 + 0.5) - n1, F.lit(all0 + 0.5) - n0
+    odds = F.abs(F.log(a / c) - F.log(b / d))
+    error = F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return (odds - sigma * error) * (F.log(F.lit(1.0 + all1 + all0) / (1 + n1 + n0)) + 1)
+
+
+class Vocabulary:
+    """Weighted terms, numbered in their order; finds those of a text."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = np.array([weights[t] for t in sorted(weights)], dtype=np.float64)
+        self.levels: dict[str, list[tuple[int, int]]] = {}  # of each gram, with the terms' numbers
+        for number, t in enumerate(sorted(weights)):
+            gram, _, level = t.partition(" ")
+            self.levels.setdefault(gram, []).append((int(level or 0), number))
+        self.starts = frozenset(gram[1 : 1 + PREFIXES[0]] for gram in self.levels)
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}
+
+    def _learn(self, word: str) -> tuple[str, ...]:
+        """The word's grams that any weighted term has."""
+        found = tuple(g for g in grams(word) if g in self.levels) if word[: PREFIXES[0]] in self.starts else ()
+        if len(word) <= _CACHED_LETTERS:
+            if len(self.known) >= _CACHED_WORDS:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    def terms_of(self, text: str) -> np.ndarray:
+        """The numbers of the text's weighted terms, ascending."""
+        words, known = _WORD.findall(text.lower()), self.known
+        size, some = len(words), []
+        for word, n in Counter(words).items():
+            found = known.get(word)
+            if found is None:
+                found = self._learn(word)
+            if found:
+                some.append((found, n))
+        at = []
+        for g, n in gram_counts(some).items():
+            for level, t in self.levels[g]:
+                if (n >> level) if level >= 0 else (n > 1 and n << -level >= size):
+                    at.append(t)
+        return np.array(sorted(at), dtype=np.int64)
 
 
 class Model:
-    def __init__(self, texts: list[str], labels: list[int], weight: float = 1.0) -> None:
-        """weight: how many rows a label-0 example stands for, if a label-1 example stands for one."""
-        self.labels = np.array(labels, dtype=np.float64)
+    """examples: (label, numbers of its terms) in the order that breaks ties. share: how many rows a label-0 example
+    stands for, if a label-1 example stands for one."""
+
+    def __init__(self, vocabulary: Vocabulary, examples: list[tuple[int, np.ndarray]], share: float = 1.0) -> None:
+        self.vocabulary, self.weights = vocabulary, vocabulary.weights
+        self.labels = np.array([label for label, _ in examples], dtype=np.float64)
         n1, n0 = int(self.labels.sum()), int((1 - self.labels).sum())
-        self.base = n1 / (n1 + weight * n0) if labels else 0.5
-        self.weight = weight
-        self.vocabulary: dict[str, int] = {}
-        self.scores = np.full(1, self.base)
-        if not n1 or not n0:
-            self._index([])
-            return
-        df = (Counter(), Counter())
-        for text, label in zip(texts, labels, strict=True):
-            df[label].update(terms(text))
-        least = (max(LEAST_EXAMPLES, LEAST_SHARE * n0), max(LEAST_EXAMPLES, LEAST_SHARE * n1))
-        odds = {t: abs(np.log((df[1][t] + 0.5) / (n1 + 1)) - np.log((df[0][t] + 0.5) / (n0 + 1))) for t in df[0].keys() | df[1].keys() if df[0][t] >= least[0] or df[1][t] >= least[1]}
-        chosen = sorted((t for t, x in odds.items() if x >= LOG_ODDS), key=lambda t: (-(df[0][t] + df[1][t]) * odds[t], t))[:TERMS]
-        self.vocabulary = {t: k for k, t in enumerate(sorted(chosen))}
-        self.idf = np.array([np.log((1 + n0 + n1) / (1 + df[0][t] + df[1][t])) + 1 for t in sorted(chosen)])
-        cache: dict = {}
-        vectors = [self._vector(self.counts(t, cache)) for t in texts]
+        self.of = np.where(self.labels > 0, 1.0, share)
+        self.base = n1 / (n1 + share * n0) if examples else 0.5
+        self.fitted = bool(n1 and n0)
+        vectors = [np.asarray(found, dtype=np.int64) for _, found in examples]
         self._index(vectors)
-        self._calibrate(vectors)
-
-    def _vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), dtype=np.int64)
-        w = np.array([1 + np.log(counts[k]) for k in at.tolist()]) * self.idf[at] if len(at) else np.empty(0)
-        return at, w / np.linalg.norm(w) if len(at) else w
-
-    def _index(self, vectors: list) -> None:
-        """Per term its postings (examples ascending, weights) and the largest weight of each block of examples."""
-        self.blocks = -(-max(1, len(vectors)) // BLOCK)
-        found: dict[int, tuple[list, list]] = {}
-        for e, (at, w) in enumerate(vectors):
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                ids, ws = found.setdefault(t, ([], []))
-                ids.append(e)
-                ws.append(x)
-        self.postings = {}
-        for t, (ids, ws) in found.items():
-            ids, ws = np.array(ids), np.array(ws)
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, ids // BLOCK, ws)
-            starts = np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK)
-            self.postings[t] = ids, ws, most, starts
-
-    def neighbours(self, vector: tuple[np.ndarray, np.ndarray], but: int = -1) -> list[tuple[float, int]]:
+        self.cached: dict[bytes, tuple[float, list]] = {}
+        if self.fitted:
+            self._calibrate(vectors)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "cached": {}}
+
+    def unit(self, at: np.ndarray) -> np.ndarray:
+        w = self.weights[at]
+        return w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def _index(self, vectors: list[np.ndarray]) -> None:
+        """Postings by term, then place; where each term's blocks start, and the largest weight in each. Examples are
+        placed by their heaviest terms, so that a block's examples are alike and its bounds close."""
+        n = len(vectors)
+        heavy = [tuple(sorted(v.tolist(), key=lambda t: (-self.weights[t], t))[:3]) for v in vectors]
+        self.example = np.array(sorted(range(n), key=lambda e: (heavy[e], e)), dtype=np.int64)  # by place
+        self.blocks = -(-max(1, n) // BLOCK)
+        placed = [vectors[e] for e in self.example.tolist()]
+        term = np.concatenate([np.empty(0, np.int64), *placed])
+        at = np.repeat(np.arange(n), np.array([len(v) for v in placed], dtype=np.int64))
+        w = np.concatenate([np.empty(0), *map(self.unit, placed)])
+        order = np.lexsort((at, term))
+        self.slot, self.w = (at[order] % BLOCK).astype(np.int32), w[order]
+        place = term[order] * self.blocks + at[order] // BLOCK
+        self.starts = np.searchsorted(place, np.arange(len(self.weights) * self.blocks + 1)).astype(np.int32)
+        self.most = np.zeros(len(self.weights) * self.blocks)
+        np.maximum.at(self.most, place, self.w)
+        self.most = self.most.reshape(-1, self.blocks)
+
+    def neighbours(self, at: np.ndarray, but: int = -1) -> list[tuple[float, int]]:
         """The K nearest examples of positive cosine as (cosine, example), nearest first, ties to the smaller example."""
-        lists = [(self.postings[t], x) for t, x in zip(vector[0].tolist(), vector[1].tolist(), strict=True) if t in self.postings]
-        if not lists:
+        if not len(at):
             return []
-        bounds = sum(p[2] * x for p, x in lists)
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            bound = bounds[block]
-            if bound <= 0 or len(best) >= K and bound < best[-1][0] - 1e-9:
+        x = self.unit(at)
+        bounds = x @ self.most[at]
+        order = np.argsort(-bounds, kind="stable")
+        scores, found = np.empty(0), np.empty(0, dtype=np.int64)  # the best so far
+        done, step = 0, _FIRST_BLOCKS
+        while done < len(order):
+            part = order[done : done + step]
+            part = part[bounds[part] > (max(0.0, scores[-1] - 1e-9) if len(scores) >= K else 0.0)]
+            if not len(part):
                 break
-            sums = np.zeros(BLOCK)
-            for (ids, ws, most, starts), x in lists:
-                if most[block]:
-                    a, b = starts[block], starts[block + 1]
-                    sums[ids[a:b] - block * BLOCK] += ws[a:b] * x
-            best += [(float(sums[k]), block * BLOCK + int(k)) for k in np.flatnonzero(sums > 0) if block * BLOCK + k != but]
-            best = sorted(best, key=lambda y: (-y[0], y[1]))[:K]
-        return best
+            rows = (at[:, None] * self.blocks + part).ravel()
+            low, sizes = self.starts[rows].astype(np.int64), self.starts[rows + 1] - self.starts[rows]
+            place = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+            local = np.repeat(np.tile(np.arange(len(part)) * BLOCK, len(at)), sizes) + self.slot[place]
+            sums = np.bincount(local, weights=self.w[place] * np.repeat(np.repeat(x, len(part)), sizes))
+            new = np.flatnonzero(sums > (scores[-1] - 1e-9 if len(scores) >= K else 0.0))
+            e = self.example[part[new // BLOCK] * BLOCK + new % BLOCK]
+            scores, found = np.concatenate([scores, sums[new][e != but]]), np.concatenate([found, e[e != but]])
+            best = np.lexsort((found, -scores))[:K]
+            scores, found = scores[best], found[best]
+            done, step = done + step, step * 2
+        return list(zip(scores.tolist(), found.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The share of label 1, by closeness (cosine over what is left of one), with one vote of the base rate at small weight."""
         weights = np.array([s / (1.05 - min(s, 1.0)) for s, _ in near])
         return float(((weights * self.labels[[e for _, e in near]]).sum() + 0.05 * self.base) / (weights.sum() + 0.05))
 
-    def _calibrate(self, vectors: list) -> None:
-        """Frequencies of label 1 by vote, over the examples each left out: pool adjacent violators on 50 bins."""
-        of = np.where(self.labels > 0, 1.0, self.weight)
-        votes, rows, empty = [], [], []
-        for e, v in enumerate(vectors):
-            near = self.neighbours(v, but=e)
-            if near:
-                votes.append(self.vote(near))
-                rows.append(e)
-            else:
-                empty.append(e)
-        self.empty = float(((of * self.labels)[empty].sum() + self.base) / (of[empty].sum() + 1))
+    def _calibrate(self, vectors: list[np.ndarray]) -> None:
+        """Frequencies of label 1 by vote, over the examples each left out: pool adjacent violators on BINS bins."""
+        near = [self.neighbours(v, but=e) for e, v in enumerate(vectors)]
+        rows = np.array([e for e, x in enumerate(near) if x], dtype=np.int64)
+        empty = np.array([e for e, x in enumerate(near) if not x], dtype=np.int64)
+        positive = self.of * self.labels
+        self.empty = float((positive[empty].sum() + self.base) / (self.of[empty].sum() + 1))
+        bins = np.array([self.bin_of(near[e]) for e in rows.tolist()], dtype=np.int64)
         pools: list[list[float]] = []  # [sum of labels, count, bins]
-        bins = np.minimum((np.array(votes) * 50).astype(int), 49)
-        for k in range(50):
-            mine = np.array(rows, dtype=np.int64)[bins == k]
-            pools.append([(of * self.labels)[mine].sum() + (k + 0.5) / 50, of[mine].sum() + 1.0, 1])
+        for k in range(BINS):
+            mine = rows[bins == k]
+            pools.append([positive[mine].sum() + (k + 0.5) / BINS, self.of[mine].sum() + 1.0, 1])
             while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
                 a, b = pools.pop(-2), pools.pop(-1)
                 pools.append([a[0] + b[0], a[1] + b[1], a[2] + b[2]])
         self.scores = np.concatenate([np.full(int(n), s / c) for s, c, n in pools])
 
-    def counts(self, text: str, cache: dict[str, tuple[int, ...]]) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for word in _WORD.findall(text.lower()):
-            at = cache.get(word)
-            if at is None:
-                if len(cache) >= _CACHED:
-                    cache.clear()
-                at = cache[word] = tuple(k for t in word_terms(word) if (k := self.vocabulary.get(t)) is not None)
-            if at:
-                for k in at:
-                    out[k] = out.get(k, 0) + 1
-        return out
+    def bin_of(self, near: list[tuple[float, int]]) -> int:
+        return min(int(self.vote(near) * BINS), BINS - 1)
 
-    def score(self, text: str, cache: dict) -> tuple[float, list[tuple[float, int]]]:
+    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
         """(probability of label 1, the neighbours it rests on)."""
-        if not self.vocabulary:
+        if not self.fitted:
             return self.base, []
-        near = self.neighbours(self._vector(self.counts(text, cache)))
-        return (float(self.scores[min(int(self.vote(near) * 50), 49)]), near) if near else (self.empty, [])
+        at = self.vocabulary.terms_of(text)
+        key = at.tobytes() if len(at) <= _CACHED_TERMS else None
+        out = self.cached.get(key) if key is not None else None
+        if out is None:
+            near = self.neighbours(at)
+            out = (float(self.scores[self.bin_of(near)]) if near else self.empty, near)
+            if key is not None:
+                if len(self.cached) >= _CACHED_SCORES:
+                    self.cached.clear()
+                self.cached[key] = out
+        return out
+
+    def release(self) -> None:
+        """Empties the caches, so that a reused worker doesn't carry them into its next task."""
+        self.vocabulary.known.clear()
+        self.cached.clear()
 
 
 def fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, negatives: int = NEGATIVES) -> tuple[Model, list[int]]:
-    """The model and the doc_ids of its examples. Of each label the examples of smallest hash, the same at every size."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def out() -> pa.RecordBatch:
+        every = list(counts[0].keys() | counts[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[t] for t in every], pa.int64()) for c in reversed(counts))], ["term", "n1", "n0"])
+
+    for batch in slices(batches):
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            counts[label].update(terms(text))
+            if len(counts[0]) + len(counts[1]) > _COUNTED:
+                yield out()
+                counts = (Counter(), Counter())
+    yield out()
+
+
+def examples(documents: DataFrame, labels: DataFrame, positives: int = EXAMPLES, negatives: int = NEGATIVES) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic, text of the examples, written to the shared folder; number of training rows by label). Of each
+    label the rows of smallest hash, the same at every size."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id")
-    parts = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(most) for k, most in ((0, negatives), (1, examples))]
-    wanted = parts[0].unionByName(parts[1])
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    share = lambda k, most: n.get(k, 0) / max(1, min(n.get(k, 0), most))
-    weight = share(0, negatives) / share(1, examples) if n.get(1) and n.get(0) else 1.0
-    return Model([r["text"] for r in rows], [int(r["toxic"]) for r in rows], weight), [r["doc_id"] for r in rows]
+    parts = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(most) for k, most in ((0, negatives), (1, positives))]
+    wanted = F.broadcast(parts[0].unionByName(parts[1]))  # at most positives + negatives rows
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return persisted(texts.join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "examples"), n
+
+
+def fit(documents: DataFrame, labels: DataFrame, positives: int = EXAMPLES, negatives: int = NEGATIVES) -> tuple[Model, list[int]]:
+    """The model and the doc_ids of its examples."""
+    rows, n = examples(documents, labels, positives, negatives)
+    used = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    share = lambda k: n.get(k, 0) / max(1, used.get(k, 0))
+    ratio = share(0) / share(1) if used.get(0) and used.get(1) else 1.0
+    counted = rows.mapInArrow(_counted, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    weighed = counted.select("term", weight(F.col("n1"), F.col("n0"), used.get(1, 0), used.get(0, 0)).alias("weight")).where("weight > 0")
+    vocabulary = Vocabulary({r["term"]: r["weight"] for r in weighed.collect()} if used.get(0) and used.get(1) else {})
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shared.value.terms_of(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toxic", "terms"])
+        shared.value.known.clear()
+
+    found = rows.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>").collect()
+    found.sort(key=lambda r: r["doc_id"])
+    return Model(vocabulary, [(r["toxic"], r["terms"]) for r in found], ratio), [r["doc_id"] for r in found]
 
 
 def scored(documents: DataFrame, labels: DataFrame, learned_from: DataFrame | None = None) -> DataFrame:
@@ -186,21 +304,18 @@ def scored(documents: DataFrame, labels: DataFrame, learned_from: DataFrame | No
     model, ids = fit(documents if learned_from is None else learned_from, labels)
     shared = documents.sparkSession.sparkContext.broadcast((model, ids))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = shared.value
-        cache: dict = {}
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                score, near = model.score(text, cache)
-                rows.append((score, ids[near[0][1]] if near else None))
-            out = pd.DataFrame(rows, columns=["score", "evidence"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            out["evidence"] = out["evidence"].astype("Int64")
-            yield out
-
-    kept = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    found = kept.mapInPandas(run, "doc_id long, score double, evidence long")
+        try:
+            for batch in slices(batches):
+                found = [model.score(t) for t in batch.column("text").to_pylist()]
+                evidence = [ids[near[0][1]] if near else None for _, near in found]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, pa.int64())], ["doc_id", "score", "evidence"])
+        finally:
+            model.release()
+
+    kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = kept.mapInArrow(run, "doc_id long, score double, evidence long")
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
@@ -208,12 +323,15 @@ def without_toxic(documents: DataFrame, labels: DataFrame, learned_from: DataFra
     """The rows whose score stays under the threshold, with all their columns; whole rows pass through, no join."""
     model, _ = fit(documents if learned_from is None else learned_from, labels)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    caches: list[dict] = [{}]
+    at = documents.columns.index("text")
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([shared.value.score(t or "", caches[0])[0] for t in batch])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        try:
+            for batch in slices(batches):
+                keep = [model.score(t or "")[0] < THRESHOLD for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+        finally:
+            model.release()
 
-    score = score.asNondeterministic()
-    return documents.withColumn("_score", score(F.coalesce("text", F.lit("")))).where(F.col("_score") < THRESHOLD).drop("_score")
+    return documents.mapInArrow(run, documents.schema)

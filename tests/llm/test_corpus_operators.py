@@ -253,22 +253,122 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs(spark, []).columns and kept.count() == sum(1 - r["predicted"] for r in got)
 
 
-def test_toxicity_neighbours_are_exact():
+def dense_toxicity(rows, train):
+    """Scores by dense cosines: rows (doc_id, text), train {doc_id: label}. Returns {doc_id: (score, evidence)}."""
+    word = re.compile(r"[^\W\d_]+")
+
+    def terms(text):
+        words, counts = word.findall(text.lower()), {}
+        for w in words:
+            for g in ["=" + w] + ["^" + w[:k] for k in range(3, 8) if k < len(w)]:
+                counts[g] = counts.get(g, 0) + 1
+        found = set()
+        for g, n in counts.items():
+            found |= {(g, k) for k in range(20) if n >= 2**k}
+            found |= {(g, -k) for k in range(4, 11) if n >= 2 and n * 2**k >= len(words)}
+        return found
+
+    ids = sorted(train)
+    texts = dict(rows)
+    sets = {i: terms(texts[i] or "") for i in ids}
+    n = [sum(1 - train[i] for i in ids), sum(train[i] for i in ids)]
+    df = {}
+    for i in ids:
+        for t in sets[i]:
+            df.setdefault(t, [0, 0])[train[i]] += 1
+    weight = {}
+    for t, (n0, n1) in df.items():
+        a, b, c, d = n1 + 0.5, n0 + 0.5, n[1] - n1 + 0.5, n[0] - n0 + 0.5
+        w = abs(np.log(a / c) - np.log(b / d)) - toxicity.SIGMA * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        if w > 0:
+            weight[t] = w * (np.log((1 + len(ids)) / (1 + n0 + n1)) + 1)
+    vocabulary = sorted(weight)
+    place = {t: k for k, t in enumerate(vocabulary)}
+
+    def vector(found):
+        v = np.zeros(len(vocabulary))
+        for t in found & weight.keys():
+            v[place[t]] = weight[t]
+        return v / (np.linalg.norm(v) or 1)
+
+    x = np.array([vector(sets[i]) for i in ids])
+    y = np.array([train[i] for i in ids])
+    base = n[1] / len(ids)
+
+    def near(v, but=-1):
+        s = np.round(x @ v, 12)
+        if but >= 0:
+            s[but] = 0
+        order = [k for k in np.lexsort((np.arange(len(ids)), -s)) if s[k] > 0][: toxicity.K]
+        return s[order], order
+
+    def vote(s, order):
+        c = s / (1.05 - np.minimum(s, 1))
+        return ((c * y[order]).sum() + 0.05 * base) / (c.sum() + 0.05)
+
+    own = [near(x[k], k) for k in range(len(ids))]
+    empty = [k for k in range(len(ids)) if not len(own[k][1])]
+    none = (y[empty].sum() + base) / (len(empty) + 1)
+    bins = {k: min(int(vote(*own[k]) * 50), 49) for k in range(len(ids)) if len(own[k][1])}
+    pools = []
+    for b in range(50):
+        mine = [y[k] for k in bins if bins[k] == b]
+        pools.append([sum(mine) + (b + 0.5) / 50, len(mine) + 1, 1])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            last = pools.pop()
+            pools[-1] = [u + v for u, v in zip(pools[-1], last, strict=True)]
+    table = [s / c for s, c, m in pools for _ in range(m)]
+    out = {}
+    for i, text in rows:
+        s, order = near(vector(terms(text or "")))
+        out[i] = (table[min(int(vote(s, order) * 50), 49)], ids[order[0]]) if len(order) else (none, None)
+    return out
+
+
+def test_toxicity_equals_dense_scores(spark):
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(["badone", "badtwo", "good", "fine", "neutral"]) for _ in range(12)) for _ in range(200)]
-    model = toxicity.Model(texts + ["good fine"] * 200, [int("badone" in t) for t in texts] + [0] * 200)
-    vectors = [model._vector(model.counts(t, {})) for t in texts]
-    dense = np.zeros((len(texts) + 200, len(model.vocabulary)))
-    for k, t in enumerate(texts + ["good fine"] * 200):
-        at, w = model._vector(model.counts(t, {}))
-        dense[k, at] = w
-    for at, w in vectors[:40]:
-        q = np.zeros(dense.shape[1])
-        q[at] = w
-        s = dense @ q
-        want = [x for x in sorted(((float(v), k) for k, v in enumerate(s) if v > 0), key=lambda y: (-round(y[0], 9), y[1]))][: toxicity.K]
-        got = model.neighbours((at, w))
-        assert np.allclose([g[0] for g in got], [x[0] for x in want])
+    common = ["good", "fine", "neutral", "trashcan", "word", "text", "other"] + [a + b for a in ("ta", "re", "mo") for b in ("na", "rito", "vera")]
+    rows, labels = [], []
+    for k in range(500):
+        w = [rng.choice(common) for _ in range(rng.randrange(4, 40))]
+        bad = rng.random() < 0.3
+        for _ in range(rng.randrange(1, 4) if bad else rng.random() < 0.05):
+            w[rng.randrange(len(w))] = "blarg" + rng.choice(["", "ish", "ton", "s"])
+        rows.append((k, " ".join(w)))
+        labels.append((k, 1, int(bad)))
+    rows += [(900, None), (901, ""), (902, "..."), (903, "BLARGish blargton " * 3)]
+    got = {r["doc_id"]: r for r in toxicity.scored(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    want = dense_toxicity(rows, {i: y for i, _, y in labels if zlib.crc32(str(i).encode()) % 3 != 1})
+    assert len({round(s, 6) for s, _ in want.values()}) >= 4
+    for i, (score, evidence) in want.items():
+        assert abs(got[i]["score"] - score) < 1e-9, i
+        assert got[i]["evidence"] == evidence, i
+    assert got[903]["predicted"] == 1 and got[901]["predicted"] == 0
+
+
+def test_toxicity_of_odd_tables(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(docs(spark, []), labels).count() == 0
+    long = docs(spark, [(1, "word " * 200_000), (1, "word " * 200_000), (None, "x"), (3, "bad")])
+    assert toxicity.scored(long, labels).count() == 4
+
+
+def test_caches_are_bounded_and_emptied():
+    model = bpe.Bpe(*bpe.default_vocabulary())
+    bound, bpe.CACHED_BYTES = bpe.CACHED_BYTES, 1 << 16
+    try:
+        for k in range(60):
+            model.encode_batch([" ".join(f"w{k}x{j}q" for j in range(400)), "z" * 5000])
+            assert model.known_bytes <= bpe.CACHED_BYTES + (400 * 3 * 400) and all(len(w) <= bpe.CACHED_LETTERS for w in model.known)
+    finally:
+        bpe.CACHED_BYTES = bound
+    model.release()
+    assert not model.known and not model.fits
+    words = toxicity.Vocabulary({"=bad": 1.0, "^bad": 1.0})
+    for k in range(toxicity._CACHED_WORDS + 1000):
+        words.terms_of(f"{chr(97 + k % 26)}{''.join(chr(97 + int(c)) for c in str(k))}")
+    assert len(words.known) <= toxicity._CACHED_WORDS
+    assert words.terms_of("badly bad").tolist() == [0, 1] and words.terms_of("x" * 100).tolist() == []
 
 
 def test_toxicity_without_labels(spark):
@@ -302,19 +402,18 @@ def test_kth_largest(spark):
 
 
 def brute_line_dedup(rows):
-    """Passages of over 50 words of whole lines (the minimal ones from each line on) keep their first occurrence."""
+    """Every run of whole lines of over 50 words, of any length, loses all but its first occurrence."""
     from collections import defaultdict
 
     seen, gone = defaultdict(list), set()
     for i, text in rows:
         lines = [(k, x) for k, x in enumerate((text or "").split("\n")) if x.strip(" \t\r")]
         for a in range(len(lines)):
-            n, b = 0, a
-            while b < len(lines) and n <= 50:
+            n = 0
+            for b in range(a, len(lines)):
                 n += lines[b][1].count(" ") + 1
-                b += 1
-            if n > 50:
-                seen[tuple(x for _, x in lines[a:b])].append((i, lines[a][0], lines[b - 1][0]))
+                if n > 50:
+                    seen[tuple(x for _, x in lines[a : b + 1])].append((i, lines[a][0], lines[b][0]))
     for places in seen.values():
         for i, a, b in sorted(places)[1:]:
             gone.update((i, k) for k in range(a, b + 1))
@@ -333,9 +432,30 @@ def test_line_dedup_equals_brute_force(spark):
             parts[at:at] = rng.choice(passages) + ([""] if k % 4 == 1 else [])
         rows.append((k, "\n".join(parts)))
     rows += [(70, None), (71, ""), (72, "\n\n"), (73, rows[3][1]), (74, "short line")]
-    got = line_dedup.deduplicated(docs(spark, rows))
-    assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_line_dedup(rows)
+    want = brute_line_dedup(rows)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs(spark, rows)).collect()} == want
+    got = line_dedup.trimmed(docs(spark, rows), lengths="n_chars")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in got.collect()} == {i: (t, len(t or "")) for i, t in want.items()}
+
+
+def test_line_dedup_takes_a_passage_to_its_last_line(spark):
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    passage = [words("a", 30), words("b", 30), words("c", 9), words("d", 9)]
+    rows = [(1, "\n".join([words("x", 5), *passage, words("y", 5)])), (2, "\n".join([words("z", 7), *passage, words("q", 6)])), (3, "\n".join(passage[2:]))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: words("z", 7) + "\n" + words("q", 6), 3: rows[2][1]}
+
+
+def test_line_dedup_equals_brute_force_on_whole_documents(spark):
+    import os
+
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("the driver's tables aren't here")
+    table = spark.read.parquet(f"{path}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect())
+    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(table).collect()} == brute_line_dedup(rows)
 
 
 def test_line_dedup_of_repeated_and_null_ids(spark):
@@ -366,13 +486,15 @@ def test_extra_columns_with_clashing_names(spark):
     from pyspark.sql import functions as F
 
     rows = docs(spark, [(1, "token=abcdefgh one two"), (2, "b")])
-    for name in ("row", "fp", "words", "term", "spans", "h", "key", "score", "good", "selected", "component_id", "line"):
+    for name in ("_score", "doc", "node", "keys", "row", "fp", "words", "term", "spans", "h", "key", "score", "good", "selected", "component_id", "line"):
         rows = rows.withColumn(name, F.lit("x"))
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert decontam.contamination(rows, items).where("contaminated").count() == 1
     assert secret_scan.scan(rows).count() == simhash.near_duplicates(rows).count() == toxicity.scored(rows, labels).count() == quality.resampled(rows, labels).count() == bpe.encode_digests(rows).count() == 2
-    assert line_dedup.deduplicated(rows.drop("row", "spans")).count() == 2
+    assert line_dedup.deduplicated(rows).count() == 2
+    kept = line_dedup.trimmed(rows.withColumn("_lines", F.lit("y")).withColumn("doc", F.lit("z")))
+    assert {(r["row"], r["spans"], r["_lines"], r["doc"]) for r in kept.collect()} == {("x", "x", "y", "z")}
     assert toxicity.without_toxic(rows, labels).columns == rows.columns
 
 

@@ -67,3 +67,32 @@ def test_near_duplicate_stage_equals_brute_force(spark, tmp_path):
     out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(label))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null, repeated and shared ids, null, empty and very long texts, clashing columns, and an empty table."""
+    from pyspark.sql import functions as F
+
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    leak = words("p", 9) + " the quick brown fox jumps over the lazy dog today"
+    rows = [(None, leak), (None, words("a", 70)), (None, words("a", 70)), (4, leak + " x"), (4, words("b", 40)), (5, words("c", 40)), (5, words("c", 40)), (6, None), (7, ""), (8, "word " * 300_000)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog today")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("row", "doc", "node", "keys", "spans", "_score", "first", "word", "component_id"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = {name: stage(spark, docs, str(tmp_path)) for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert all(k.columns == docs.columns for k in kept.values())
+    assert all((r["row"], r["doc"], r["spans"]) == ("row", "doc", "spans") for k in kept.values() for r in k.collect())
+    ids = {name: sorted((str(r["doc_id"]), (r["text"] or "")[:2]) for r in k.collect()) for name, k in kept.items()}
+    every = sorted((str(i), (t or "")[:2]) for i, t in rows)
+    assert ids["toxicity"] == every
+    assert sorted(i for i, _ in ids["line_dedup"]) == sorted(i for i, _ in every)
+    # the copies without an id become one, as do the rows 5 and the texts without words; the first row gives way to a row 4
+    assert [i for i, _ in ids["simhash_near_dedup"]] == ["4", "4", "5", "6", "8", "None"]
+    # rows with the passage go, null id or not; the other row 4 stays
+    assert ids["decontamination"] == sorted(x for x in every if x[1] != "p0")
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
