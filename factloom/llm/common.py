@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ LOWER = UPPER.lower()
 SHARED_DIR = "spark.checkpoint.dir"
 
 _local_dir: list[str] = []
+_written: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,18 +58,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
+def persisted(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors. Within
+    scratch() the table goes at its end, unless it is to be kept."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if (written := _written.get()) is not None and not keep:
+        written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what persisted() wrote within, so that disk is held only while it is needed. What is to outlive
+    it must be written with keep."""
+    mark = _written.set([])
+    try:
+        yield
+    finally:
+        written = _written.get()
+        _written.reset(mark)
+        for spark, path in written:
+            remove(spark, path)
+
+
 def numbered(documents: DataFrame, name: str = "numbered") -> DataFrame:
     """(row, doc): each row under a number of its own, with all its columns in one struct, so that repeated or null ids
     don't mix up rows and no column clashes with an operator's own. Written once, so that the numbers stay."""
-    return persisted(documents.select(F.monotonically_increasing_id().alias("row"), F.struct(*documents.columns).alias("doc")), name)
+    return persisted(documents.select(F.monotonically_increasing_id().alias("row"), F.struct(*documents.columns).alias("doc")), name, keep=True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, most_rows: int) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower, broadcast_if_small, persisted
+from factloom.llm.common import ascii_lower, broadcast_if_small, persisted, scratch
 
 WINDOW_WORDS = 10
 #: Tables of test terms or windows up to so many rows are broadcast (some 100 bytes a row); larger ones are joined by shuffle.
@@ -108,25 +108,27 @@ def proximity_matches(index: DataFrame, windows: DataFrame, terms: DataFrame, sl
 def contamination(documents: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, row: str | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document; row as well, if documents have such
     a column that numbers them."""
-    windows = persisted(test_windows(items, size), "windows")
-    terms = persisted(vocabulary(windows), "terms")
-    index = build_index(documents, terms, row)
-    found = phrase_matches(index, windows, terms)
-    named = found.join(broadcast_if_small(windows.select("window_id", "item_ids"), windows.count(), BROADCAST_ROWS), "window_id")
-    # words covered by the union of the intervals, walked in order
-    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))))
-    covered = F.aggregate(
-        spans, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("to")),
-        lambda a, x: F.struct((a["sum"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"].cast("long"), a["to"]))).cast("long").alias("sum"), F.greatest(a["to"], x["end"].cast("long")).alias("to")),
-        lambda a: a["sum"],
-    )
-    hits = named.groupBy("row").agg(covered.alias("n_hit"), F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("item_ids")), lambda x: x.cast("string")))).alias("items"))
-    every = index.where("term_id = -1").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
-    none = F.array().cast("array<string>")
-    return every.join(hits, "row", "left").select(
-        *(["row"] if row else []), "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-    )
+    with scratch():
+        windows = persisted(test_windows(items, size), "windows")
+        terms = persisted(vocabulary(windows), "terms")
+        index = build_index(documents, terms, row)
+        found = phrase_matches(index, windows, terms)
+        named = found.join(broadcast_if_small(windows.select("window_id", "item_ids"), windows.count(), BROADCAST_ROWS), "window_id")
+        # words covered by the union of the intervals, walked in order
+        spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))))
+        covered = F.aggregate(
+            spans, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("to")),
+            lambda a, x: F.struct((a["sum"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"].cast("long"), a["to"]))).cast("long").alias("sum"), F.greatest(a["to"], x["end"].cast("long")).alias("to")),
+            lambda a: a["sum"],
+        )
+        hits = named.groupBy("row").agg(covered.alias("n_hit"), F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("item_ids")), lambda x: x.cast("string")))).alias("items"))
+        every = index.where("term_id = -1").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+        none = F.array().cast("array<string>")
+        result = every.join(hits, "row", "left").select(
+            *(["row"] if row else []), "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+            F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        )
+        return persisted(result, "contamination", keep=True)
 
 
 ORACLE = r"""

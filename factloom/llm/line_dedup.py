@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import broadcast_if_small, numbered, persisted
+from factloom.llm.common import broadcast_if_small, numbered, persisted, scratch
 
 MIN_WORDS = 50  # passages of more words go
 DIVISOR = 8  # a boundary after one line in so many, on average
@@ -88,7 +88,9 @@ def _cut(documents: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("row").alias("n"))
     n, ids = each.select(F.count("*"), F.countDistinct("doc.doc_id")).first()
     keyed = each.select((F.col("doc.doc_id").cast("long") if n == ids else key).alias("row"), "doc")
-    joined = keyed.join(removals(keyed.select("row", "doc.text")), "row", "left")
+    with scratch():
+        spans = persisted(removals(keyed.select("row", "doc.text")), "spans", keep=True)
+    joined = keyed.join(spans, "row", "left")
     # spans are merged first, so that every line is looked up in few of them
     merged = F.aggregate(
         "spans", F.array().cast("array<struct<first:int,last:int>>"),

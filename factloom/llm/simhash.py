@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import LOWER, UPPER, persisted
+from factloom.llm.common import LOWER, UPPER, persisted, scratch
 from factloom.llm.components import components, spanning_edges
 
 SHINGLE_WORDS = 3
@@ -86,10 +87,8 @@ def _syndromes(words: np.ndarray) -> np.ndarray:
 def _coset_table(threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per syndrome the error patterns up to the radius plus threshold, lightest first: starts, counts, patterns, bits
     beyond the radius. A block minus such a pattern is a code word that near."""
-    every = np.arange(1 << BLOCK_BITS, dtype=np.int64)
-    weights = np.bitwise_count(every)
-    near = every[weights <= RADIUS + threshold]
-    weights, of = weights[weights <= RADIUS + threshold].astype(np.int64), _syndromes(near)
+    near = np.array([sum(1 << b for b in bits) for n in range(RADIUS + threshold + 1) for bits in combinations(range(BLOCK_BITS), n)], dtype=np.int64)
+    weights, of = np.bitwise_count(near).astype(np.int64), _syndromes(near)
     order = np.lexsort((weights, of))
     counts = np.bincount(of, minlength=1 << _CHECK_BITS)
     return np.cumsum(counts) - counts, counts, near[order], np.maximum(weights[order] - RADIUS, 0)
@@ -195,10 +194,11 @@ def linked(distinct: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
     fps = persisted(fingerprints(documents, words), "fingerprints")
-    distinct = persisted(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = persisted(linked(distinct.select("fp")), "links")
-    of = components(edges)  # node, component: only of fingerprints with links
-    joined = distinct.join(of, distinct["fp"] == of["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = persisted(joined.join(smallest, "component").select("fp", "component_id"), "named")
+    with scratch():
+        distinct = persisted(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        edges = persisted(linked(distinct.select("fp")), "links")
+        of = components(edges)  # node, component: only of fingerprints with links
+        joined = distinct.join(of, distinct["fp"] == of["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+        smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = persisted(joined.join(smallest, "component").select("fp", "component_id"), "named", keep=True)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import persisted, slices
+from factloom.llm.common import persisted, scratch, slices
 
 EXAMPLES = 1500
 NEGATIVES = 4500
@@ -55,9 +55,9 @@ def grams(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in PREFIXES if k < len(word))]
 
 
-def gram_counts(words: Iterable[tuple[Iterable[str], int]]) -> dict[str, int]:
+def gram_counts(words: Iterable[tuple[Iterable, int]]) -> dict:
     """Occurrences of each gram; words: the grams of a word and how often it occurs."""
-    out: dict[str, int] = {}
+    out: dict = {}
     for found, n in words:
         for g in found:
             out[g] = out.get(g, 0) + n
@@ -90,19 +90,25 @@ class Vocabulary:
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = np.array([weights[t] for t in sorted(weights)], dtype=np.float64)
-        self.levels: dict[str, list[tuple[int, int]]] = {}  # of each gram, with the terms' numbers
+        levels: dict[str, list[tuple[int, int]]] = {}  # of each gram, with the terms' numbers
         for number, t in enumerate(sorted(weights)):
             gram, _, level = t.partition(" ")
-            self.levels.setdefault(gram, []).append((int(level or 0), number))
-        self.starts = frozenset(gram[1 : 1 + PREFIXES[0]] for gram in self.levels)
-        self.known: dict[str, tuple[str, ...]] = {}
+            levels.setdefault(gram, []).append((int(level or 0), number))
+        self.levels = list(levels.values())
+        self.whole = {g[1:]: k for k, g in enumerate(levels) if g[0] == "="}
+        self.begins = {g[1:]: k for k, g in enumerate(levels) if g[0] == "^"}
+        self.lengths = sorted({len(g) for g in self.begins})
+        self.starts = frozenset(g[: PREFIXES[0]] for g in self.begins)
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "known": {}}
 
-    def _learn(self, word: str) -> tuple[str, ...]:
+    def _learn(self, word: str) -> tuple[int, ...]:
         """The word's grams that any weighted term has."""
-        found = tuple(g for g in grams(word) if g in self.levels) if word[: PREFIXES[0]] in self.starts else ()
+        found = (self.whole[word],) if word in self.whole else ()
+        if word[: PREFIXES[0]] in self.starts:
+            found += tuple(k for n in self.lengths if n < len(word) and (k := self.begins.get(word[:n])) is not None)
         if len(word) <= _CACHED_LETTERS:
             if len(self.known) >= _CACHED_WORDS:
                 self.known.clear()
@@ -278,24 +284,25 @@ def examples(documents: DataFrame, labels: DataFrame, positives: int = EXAMPLES,
 
 def fit(documents: DataFrame, labels: DataFrame, positives: int = EXAMPLES, negatives: int = NEGATIVES) -> tuple[Model, list[int]]:
     """The model and the doc_ids of its examples."""
-    rows, n = examples(documents, labels, positives, negatives)
-    used = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    share = lambda k: n.get(k, 0) / max(1, used.get(k, 0))
-    ratio = share(0) / share(1) if used.get(0) and used.get(1) else 1.0
-    counted = rows.mapInArrow(_counted, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    weighed = counted.select("term", weight(F.col("n1"), F.col("n0"), used.get(1, 0), used.get(0, 0)).alias("weight")).where("weight > 0")
-    vocabulary = Vocabulary({r["term"]: r["weight"] for r in weighed.collect()} if used.get(0) and used.get(1) else {})
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [shared.value.terms_of(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toxic", "terms"])
-        shared.value.known.clear()
-
-    found = rows.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>").collect()
-    found.sort(key=lambda r: r["doc_id"])
-    return Model(vocabulary, [(r["toxic"], r["terms"]) for r in found], ratio), [r["doc_id"] for r in found]
+    with scratch():
+        rows, n = examples(documents, labels, positives, negatives)
+        used = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        share = lambda k: n.get(k, 0) / max(1, used.get(k, 0))
+        ratio = share(0) / share(1) if used.get(0) and used.get(1) else 1.0
+        counted = rows.mapInArrow(_counted, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        weighed = counted.select("term", weight(F.col("n1"), F.col("n0"), used.get(1, 0), used.get(0, 0)).alias("weight")).where("weight > 0")
+        vocabulary = Vocabulary({r["term"]: r["weight"] for r in weighed.collect()} if used.get(0) and used.get(1) else {})
+        shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                found = [shared.value.terms_of(x) for x in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toxic", "terms"])
+            shared.value.known.clear()
+
+        found = rows.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>").collect()
+        found.sort(key=lambda r: r["doc_id"])
+        return Model(vocabulary, [(r["toxic"], r["terms"]) for r in found], ratio), [r["doc_id"] for r in found]
 
 
 def scored(documents: DataFrame, labels: DataFrame, learned_from: DataFrame | None = None) -> DataFrame:
