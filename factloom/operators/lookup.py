@@ -24,12 +24,13 @@ def symbol_order() -> list:
 
 
 def suggestions(symbols: DataFrame, query: str, most: int = 5) -> DataFrame:
-    """The nearest names by edit distance of the last component: the first symbol of each qualified name, then the
-    smallest distance, ties in symbol order."""
+    """The nearest names by edit distance between the query's last component and a short name, letters folded for kinds
+    that fold: the first symbol of each qualified name, then the smallest distance, ties by the qualified name's bytes."""
     first = Window.partitionBy("qualified_name").orderBy(*symbol_order())
-    wanted = S.last_component(F.lit(query))
     once = symbols.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return once.withColumn("distance", S.levenshtein(S.last_component(F.col("qualified_name")), wanted)).orderBy("distance", *symbol_order()).limit(most)
+    wanted, folds = S.last_component(F.lit(query)), F.coalesce(S.folds_case(F.col("language"), F.col("kind")), F.lit(False))
+    distance = F.when(folds, S.levenshtein(S.ascii_fold(F.col("name")), S.ascii_fold(wanted))).otherwise(S.levenshtein(F.col("name"), wanted))
+    return once.withColumn("distance", distance).orderBy("distance", "qualified_name").limit(most)
 
 
 def innermost(symbols: DataFrame, places: DataFrame, bin_lines: int = 256) -> DataFrame:

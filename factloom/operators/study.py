@@ -65,18 +65,34 @@ def paired_blocks(attempts: DataFrame, base: str, other: str, metric: str) -> Da
 
 
 def task_values(blocks: DataFrame, base: str, other: str) -> DataFrame:
-    return blocks.groupBy("task").agg(F.avg(base).alias(base), F.avg(other).alias(other), F.count("*").alias("n"))
+    """task, mean of either arm over its blocks, n, and the sums `<arm>_sum` (exact up to nine digits after the point)."""
+    total = lambda c: F.sum(F.col(c).cast("decimal(28,9)")).alias(f"{c}_sum")
+    return blocks.groupBy("task").agg(F.avg(base).alias(base), F.avg(other).alias(other), F.count("*").alias("n"), total(base), total(other))
+
+
+def _means_of_means(values: DataFrame, by: list[str], base: str, other: str) -> DataFrame:
+    """by, ratio, difference, n_tasks. Task means are brought to one denominator, so that nothing is rounded before the
+    last division, whatever the order of the rows: sums are first added up by number of blocks."""
+    parts = values.groupBy(*by, "n").agg(F.sum(f"{base}_sum").alias("b"), F.sum(f"{other}_sum").alias("c"), F.count("*").alias("tasks"))
+    rows = parts.groupBy(*by).agg(F.collect_list(F.struct("n", "b", "c")).alias("parts"), F.sum("tasks").alias("n_tasks"))
+    whole = F.aggregate("parts", F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x["n"]).cast("decimal(38,0)"))
+    over = lambda arm: F.aggregate("parts", F.lit(0).cast("decimal(38,9)"), lambda a, x: (a + x[arm] * (F.col("whole") / x["n"]).cast("decimal(20,0)")).cast("decimal(38,9)"))
+    summed = rows.withColumn("whole", whole).withColumns({"b": over("b"), "c": over("c")})
+    number = lambda c: c.cast("double")
+    ratio = F.when(F.col("b") != 0, number(F.col("c")) / number(F.col("b")))
+    difference = number(F.col("c") - F.col("b")) / number(F.col("whole") * F.col("n_tasks"))
+    return summed.select(*by, ratio.alias("ratio"), difference.alias("difference"), "n_tasks")
 
 
 def estimates(values: DataFrame, base: str, other: str) -> DataFrame:
-    """ratio of the means of task values, difference, n_tasks; the ratio is null where the base is zero."""
-    b, c = F.avg(base), F.avg(other)
-    return values.agg(F.when(b != 0, c / b).alias("ratio"), (c - b).alias("difference"), F.count("*").alias("n_tasks"))
+    """ratio of the means of task values, difference, n_tasks; the ratio is null where the base is zero. values: of
+    task_values; one row, of nulls and zero tasks where there are none."""
+    found = _means_of_means(values, [], base, other)
+    return found.withColumn("n_tasks", F.coalesce("n_tasks", F.lit(0).cast("long")))
 
 
 def group_estimates(values: DataFrame, group: str, base: str, other: str) -> DataFrame:
-    b, c = F.avg(base), F.avg(other)
-    return values.groupBy(group).agg(F.when(b != 0, c / b).alias("ratio"), (c - b).alias("difference"), F.count("*").alias("n_tasks"))
+    return _means_of_means(values, [group], base, other)
 
 
 def schedule(tasks: list[str], arms: list[str], trials: int, seed: int) -> list[tuple[int, str, int, str, int]]:

@@ -374,7 +374,7 @@ def a14_merged_counts(spark, d):
 @query(WITH_ATTEMPTS + "SELECT task, round(avg(b), 4) AS b, round(avg(c), 4) AS c, count(*) AS n FROM (SELECT task, trial, max(tokens) FILTER (WHERE arm = 'b') AS b, max(tokens) FILTER (WHERE arm = 'c') AS c FROM (SELECT task, trial // 2 AS trial, arm, tokens FROM att) GROUP BY ALL) WHERE b IS NOT NULL AND c IS NOT NULL GROUP BY task")
 def a15_task_values(spark, d):
     a = B.attempts(spark, d).withColumn("trial", F.floor(F.col("trial") / 2))
-    return study.task_values(study.paired_blocks(a, "b", "c", "tokens"), "b", "c").withColumns({"b": F.round("b", 4), "c": F.round("c", 4)})
+    return study.task_values(study.paired_blocks(a, "b", "c", "tokens"), "b", "c").select("task", F.round("b", 4).alias("b"), F.round("c", 4).alias("c"), "n")
 
 
 @query()
@@ -440,9 +440,9 @@ def t03_pages(spark, d):
     return match.pages(m, "containing_symbol", match.reference_order(), 5, 10).select("containing_symbol", "use_id", "total", "next_offset")
 
 
-@query(WITH_FACTS + "SELECT id, qualified_name, levenshtein(list_last(string_split(regexp_replace(qualified_name, '(::|->|\\\\|/|\\.)+', '.', 'g'), '.')), 'almond blu') AS distance FROM (SELECT * FROM sy QUALIFY row_number() OVER (PARTITION BY qualified_name ORDER BY file, start_byte, id) = 1) ORDER BY distance, file, start_byte, id LIMIT 5")
+@query(WITH_FACTS + "SELECT id, qualified_name, levenshtein(lower(name), 'almond blu') AS distance FROM (SELECT * FROM sy QUALIFY row_number() OVER (PARTITION BY qualified_name ORDER BY file, start_byte, id) = 1) ORDER BY distance, encode(qualified_name) LIMIT 5")
 def t05_suggestions(spark, d):
-    return lookup.suggestions(B.symbols(spark, d), "almond blu").select("id", "qualified_name", "distance")
+    return lookup.suggestions(B.symbols(spark, d), "Almond Blu").select("id", "qualified_name", "distance")
 
 
 @query(WITH_FACTS + "SELECT qualified_name, distance FROM (SELECT qualified_name, id, start_byte, greatest(start_line - 500, 500 - end_line, 0) AS distance FROM sy WHERE file = 'Brand#11' QUALIFY row_number() OVER (PARTITION BY qualified_name ORDER BY distance, start_byte, id) = 1) ORDER BY distance, start_byte, id LIMIT 5")
@@ -531,7 +531,8 @@ def g11_import_candidates(spark, d):
     return context.import_candidates(kinds, b)
 
 
-_PAIRED = ", tv AS (SELECT task, avg(b) AS b, avg(c) AS c FROM (SELECT task, trial, max(tokens) FILTER (WHERE arm = 'b') AS b, max(tokens) FILTER (WHERE arm = 'c') AS c FROM (SELECT task, trial // 2 AS trial, arm, tokens, passed FROM att WHERE passed >= {least}) GROUP BY ALL) WHERE b IS NOT NULL AND c IS NOT NULL GROUP BY task) "
+# sums times 2520 / n, whole for each n up to 10 blocks of a task, so that means of means are divided once
+_PAIRED = ", tv AS (SELECT task, (sum(b) * 2520 // count(*))::BIGINT AS b, (sum(c) * 2520 // count(*))::BIGINT AS c FROM (SELECT task, trial, max(tokens) FILTER (WHERE arm = 'b') AS b, max(tokens) FILTER (WHERE arm = 'c') AS c FROM (SELECT task, trial // 2 AS trial, arm, tokens, passed FROM att WHERE passed >= {least}) GROUP BY ALL) WHERE b IS NOT NULL AND c IS NOT NULL GROUP BY task) "
 
 
 def _values(spark, d, least=0):
@@ -539,17 +540,17 @@ def _values(spark, d, least=0):
     return study.task_values(study.paired_blocks(a, "b", "c", "tokens"), "b", "c")
 
 
-@query(WITH_ATTEMPTS + _PAIRED.format(least=0) + "SELECT round(avg(c) / avg(b), 6) AS ratio, round(avg(c) - avg(b), 3) AS difference, count(*) AS n_tasks FROM tv")
+@query(WITH_ATTEMPTS + _PAIRED.format(least=0) + "SELECT round(sum(c)::DOUBLE / sum(b)::DOUBLE, 6) AS ratio, round((sum(c) - sum(b))::DOUBLE / (2520 * count(*))::DOUBLE, 3) AS difference, count(*) AS n_tasks FROM tv")
 def a16_estimates(spark, d):
     return study.estimates(_values(spark, d), "b", "c").withColumns({"ratio": F.round("ratio", 6), "difference": F.round("difference", 3)})
 
 
-@query(WITH_ATTEMPTS + _PAIRED.format(least=1) + "SELECT round(avg(c) / avg(b), 6) AS ratio, round(avg(c) - avg(b), 3) AS difference, count(*) AS n_tasks FROM tv")
+@query(WITH_ATTEMPTS + _PAIRED.format(least=1) + "SELECT round(sum(c)::DOUBLE / sum(b)::DOUBLE, 6) AS ratio, round((sum(c) - sum(b))::DOUBLE / (2520 * count(*))::DOUBLE, 3) AS difference, count(*) AS n_tasks FROM tv")
 def a18_successful_only(spark, d):
     return study.estimates(_values(spark, d, 1), "b", "c").withColumns({"ratio": F.round("ratio", 6), "difference": F.round("difference", 3)})
 
 
-@query(WITH_ATTEMPTS + _PAIRED.format(least=0) + "SELECT task::INTEGER % 3 AS category, round(avg(c) / avg(b), 6) AS ratio, round(avg(c) - avg(b), 3) AS difference, count(*) AS n_tasks FROM tv GROUP BY ALL")
+@query(WITH_ATTEMPTS + _PAIRED.format(least=0) + "SELECT task::INTEGER % 3 AS category, round(sum(c)::DOUBLE / sum(b)::DOUBLE, 6) AS ratio, round((sum(c) - sum(b))::DOUBLE / (2520 * count(*))::DOUBLE, 3) AS difference, count(*) AS n_tasks FROM tv GROUP BY ALL")
 def a19_group_estimates(spark, d):
     v = _values(spark, d).withColumn("category", F.col("task").cast("int") % 3)
     return study.group_estimates(v, "category", "b", "c").withColumns({"ratio": F.round("ratio", 6), "difference": F.round("difference", 3)})
