@@ -8,7 +8,8 @@ answers every block with its nearest, and the best of all shards are merged by a
 
 Nearness is the cosine of the original vectors in double precision; ties go to the smaller id. Defined cases: null,
 zero-length, zero and non-finite vectors and rows with a null id take no part; vectors meet only those of their own
-dimension; repeated rows are equal vectors with equal ids and count once; an empty table gives no rows.
+dimension; repeated rows are equal vectors with equal ids and count once; of one id with several vectors each is a
+candidate, and the query is the smallest vector, component by component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -153,12 +154,12 @@ def points(embeddings: DataFrame, copies: int = NEAREST + 1) -> DataFrame:
     return first.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids")).select("vec_ids", "embedding", F.size("embedding").alias("dim"))
 
 
-GRAPH_SCHEMA = "dim int, shard int, n int, vec_ids array<array<long>>, vectors binary, levels array<int>, neighbours array<array<int>>"
+GRAPH_SCHEMA = "dim int, shard int, n int, copies int, vec_ids array<array<long>>, vectors binary, levels array<int>, neighbours array<array<int>>"
 
 
-def build_index(embeddings: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """One row per shard, written to the shared folder."""
-    each = persisted(points(embeddings), "points")
+def build_index(embeddings: DataFrame, shard_points: int = SHARD_POINTS, copies: int = NEAREST + 1) -> DataFrame:
+    """One row per shard, written to the shared folder. copies: ids kept of equal vectors; searches may ask for one less."""
+    each = persisted(points(embeddings, copies), "points")
     sizes = each.groupBy("dim").count().select("dim", F.ceil(F.col("count") / shard_points).cast("int").alias("shards"))
     dealt = each.join(F.broadcast(sizes), "dim").select("dim", F.pmod(F.xxhash64("embedding"), "shards").cast("int").alias("shard"), "vec_ids", "embedding")
     shards = sizes.agg(F.sum("shards")).first()[0] or 1
@@ -168,7 +169,7 @@ def build_index(embeddings: DataFrame, shard_points: int = SHARD_POINTS) -> Data
         part = part.sort_values("vec_ids", key=lambda ids: ids.map(lambda x: x[0]), ignore_index=True)
         raw = np.array(part["embedding"].tolist(), dtype=np.float64)
         graph = Graph(_unit(raw).astype(np.float32)).build()
-        return pd.DataFrame({"dim": [part["dim"][0]], "shard": [part["shard"][0]], "n": [len(part)], "vec_ids": [part["vec_ids"].tolist()], "vectors": [raw.tobytes()], "levels": [graph.levels], "neighbours": [graph.links]})
+        return pd.DataFrame({"dim": [part["dim"][0]], "shard": [part["shard"][0]], "n": [len(part)], "copies": [copies], "vec_ids": [part["vec_ids"].tolist()], "vectors": [raw.tobytes()], "levels": [graph.levels], "neighbours": [graph.links]})
 
     return persisted(dealt.groupBy("dim", "shard").applyInPandas(build, GRAPH_SCHEMA), "graphs")
 
@@ -179,7 +180,11 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 def search(index: DataFrame, queries: DataFrame, k: int = NEAREST, width: int = SEARCH_WIDTH) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found. queries: (vec_id, embedding) that take part, to be searched
-    in blocks of QUERY_BLOCK, each sent to every shard; the index itself never moves."""
+    in blocks of QUERY_BLOCK, each sent to every shard; the index itself never moves. An index that keeps too few copies of
+    equal vectors for k is refused."""
+    least = index.agg(F.min("copies")).first()[0]
+    if least is not None and k + 1 > least:
+        raise ValueError(f"the index keeps {least} ids of equal vectors; build it with copies={k + 1} to search for {k}")
     asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"), F.size("embedding").alias("dim"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = persisted(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
@@ -224,7 +229,7 @@ def _cosines(vectors: np.ndarray, norms: np.ndarray, q: np.ndarray) -> np.ndarra
 
 def nearest(embeddings: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFrame:
     """The k nearest of every row whose id `every` divides, against all rows."""
-    index = build_index(embeddings)
+    index = build_index(embeddings, copies=k + 1)
     v = F.col("embedding")
     queries = embeddings.where(F.col("vec_id").isNotNull() & (F.col("vec_id") % every == 0) & v.isNotNull() & (F.size(v) > 0)).where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    return search(index, queries.dropDuplicates(["vec_id"]), k)
+    return search(index, queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), k)

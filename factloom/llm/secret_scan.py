@@ -61,10 +61,20 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
         if length >= RULES[rule][2]:
             found.append((start, rule, end))
     if len(data) != len(text):
-        found = [(len(data[:s].decode()), r, len(data[:s].decode()) + e - s) for s, r, e in found]  # matches are ASCII
+        found = _in_code_points(data, sorted(found))
     return sorted(found)
 
 
+def _in_code_points(data: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Byte offsets, ascending, as code points, in one walk over the text; matches are ASCII."""
+    out, at, points = [], 0, 0
+    for start, rule, end in found:
+        points += len(data[at:start].decode())
+        at = start
+        out.append((points, rule, points + end - start))
+    return out
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[r]}:{s}:{e}" for s, r, e in spans)
 

@@ -103,6 +103,29 @@ def test_neighbours_of_few_rows(spark):
     assert ann.nearest(few.limit(0)).count() == 0
 
 
+def test_neighbours_over_several_shards_and_many_copies(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(900, 12)).astype(np.float32)
+    vectors[600:640] = vectors[50]
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)] + [(100, vectors[7].tolist(), 0)], "vec_id long, embedding array<float>, label int")
+    index = ann.build_index(df, shard_points=200, copies=21)
+    assert index.count() >= 4
+    asked = df.where("vec_id % 50 = 0 AND vec_id <> 100").select("vec_id", "embedding")
+    by = {}
+    for r in ann.search(index, asked, k=20).collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    v = vectors.astype(np.float64)
+    hits = 0
+    for q, mine in by.items():
+        s = (v * v[q]).sum(axis=1) / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[q]))
+        want = {k for _, k in sorted((-x, k) for k, x in enumerate(s) if k != q)[:20]}
+        hits += len(want & mine)
+    assert hits >= 0.9 * 20 * len(by) and by[50] == set(range(600, 620))
+    with pytest.raises(ValueError):
+        ann.search(ann.build_index(df, copies=6), asked, k=20)
+    assert sorted(ann.nearest(df).collect()) == sorted(ann.nearest(df).collect())
+
+
 TEXTS = ["", "plain", "<|im_end|>", "<|im_start|>user\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\|im_start|>", "<|im_", "a\\b <|x|>", "é\n<|im_end|><|im_end|>"]
 
 
