@@ -1,7 +1,8 @@
-"""Snapshots of fact tables: immutable directories named by digest, and one pointer to the current one."""
+"""Snapshots of fact tables: directories that are written once, and one pointer to the current one."""
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import time
@@ -10,7 +11,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-FORMAT_VERSION = "1"
+FORMAT_VERSION = "2"
+WHOLE = "WHOLE"
 LOCK_SECONDS = 5.0
 
 
@@ -23,8 +25,9 @@ class Incompatible(RuntimeError):
 
 
 class SnapshotStore:
-    """Tables under root/<digest>/<name>, written once; root/CURRENT names the digest and its fingerprints. The pointer
-    is replaced by a rename, so a reader that has resolved it keeps a whole snapshot whatever is published later."""
+    """Tables under root/<digest>-<number>/<name>. Every publication writes a directory of its own, marks it as whole, and
+    only then moves root/CURRENT by a rename: a reader that holds what current() gave keeps a whole snapshot whatever is
+    published later, and what a writer left that died is never read."""
 
     def __init__(self, root: str) -> None:
         self.root = root
@@ -35,20 +38,18 @@ class SnapshotStore:
 
     @contextmanager
     def lock(self, seconds: float = LOCK_SECONDS):
+        """Held by the process, not by a file's presence: the system lets go of it when the writer dies."""
         path, until = os.path.join(self.root, "LOCK"), time.monotonic() + seconds
-        while True:
-            try:
-                fd = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-                break
-            except FileExistsError:
-                if time.monotonic() >= until:
-                    raise Conflict(f"{path} is held by another writer") from None
-                time.sleep(0.05)
-        try:
+        with open(path, "a", encoding="utf-8") as f:
+            while True:
+                try:
+                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                    break
+                except BlockingIOError:
+                    if time.monotonic() >= until:
+                        raise Conflict(f"{path} is held by another writer") from None
+                    time.sleep(0.05)
             yield
-        finally:
-            os.close(fd)
-            os.unlink(path)
 
     def current(self) -> dict | None:
         try:
@@ -57,33 +58,50 @@ class SnapshotStore:
         except FileNotFoundError:
             return None
 
-    def publish(self, digest: str, tables: dict[str, DataFrame], fingerprints: dict[str, str], expected: str | None, link: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None) -> bool:
-        """Writes the tables, then what link() makes of them as written, and moves the pointer; Conflict if the current digest isn't the expected one any more.
-        False if nothing changed."""
+    def _next(self) -> int:
+        """A number above those of all directories, whole or left behind."""
+        return 1 + max((int(n) for d in os.listdir(self.root) if (n := d.rpartition("-")[2]).isdigit()), default=0)
+
+    def publish(self, digest: str, tables: dict[str, DataFrame], fingerprints: dict[str, str], expected: str | None, link: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None, force: bool = False) -> bool:
+        """Writes the tables, then what link() makes of them as written, and moves the pointer; Conflict if the current
+        directory isn't the expected one any more. False if nothing changed, which force doesn't ask."""
         with self.lock():
             now = self.current()
-            if (now["digest"] if now else None) != expected:
+            if (now["directory"] if now else None) != expected:
                 raise Conflict("another snapshot was published")
             meta = {"digest": digest, "format": FORMAT_VERSION, "fingerprints": fingerprints}
-            if now == meta:
+            if not force and now is not None and meta == {k: now[k] for k in meta}:
                 return False
-            where = os.path.join(self.root, digest.replace(":", "-"))
+            directory = f"{digest.replace(':', '-')}-{self._next()}"
+            where = os.path.join(self.root, directory)
             for name, df in tables.items():
-                df.write.mode("overwrite").parquet(os.path.join(where, name))
+                df.write.parquet(os.path.join(where, name))
             if link is not None:
                 written = {name: df.sparkSession.read.schema(df.schema).parquet(os.path.join(where, name)) for name, df in tables.items()}
                 for name, df in link(written).items():
-                    df.write.mode("overwrite").parquet(os.path.join(where, name))
-            with open(self._pointer() + ".new", "w", encoding="utf-8") as f:
-                json.dump(meta, f, sort_keys=True)
-            os.replace(self._pointer() + ".new", self._pointer())
+                    df.write.parquet(os.path.join(where, name))
+            os.makedirs(where, exist_ok=True)
+            meta["directory"] = directory
+            for path in (os.path.join(where, WHOLE), self._pointer()):
+                with open(path + ".new", "w", encoding="utf-8") as f:
+                    json.dump(meta, f, sort_keys=True)
+                os.replace(path + ".new", path)
             return True
 
-    def read(self, spark: SparkSession, name: str, fingerprints: dict[str, str] | None = None, digest: str | None = None) -> DataFrame:
-        """A table of the current snapshot, or of a pinned digest; Incompatible if fingerprints are asked for and differ."""
-        now = self.current()
+    def _of_digest(self, digest: str) -> str:
+        """The last whole directory of a digest."""
+        start = digest.replace(":", "-") + "-"
+        found = [d for d in os.listdir(self.root) if d.startswith(start) and os.path.exists(os.path.join(self.root, d, WHOLE))]
+        if not found:
+            raise FileNotFoundError(f"{self.root} has no snapshot {digest}")
+        return max(found, key=lambda d: int(d.rpartition("-")[2]))
+
+    def read(self, spark: SparkSession, name: str, fingerprints: dict[str, str] | None = None, digest: str | None = None, pinned: dict | None = None) -> DataFrame:
+        """A table of the current snapshot, of the one that current() gave as pinned, or of the last one with a digest.
+        Incompatible if fingerprints are asked for and differ."""
+        now = pinned or self.current()
         if now is None and digest is None:
             raise FileNotFoundError(f"{self.root} has no snapshot")
         if fingerprints is not None and now is not None and (now["format"] != FORMAT_VERSION or now["fingerprints"] != fingerprints):
             raise Incompatible("the snapshot was made with other settings; index again")
-        return spark.read.parquet(os.path.join(self.root, (digest or now["digest"]).replace(":", "-"), name))
+        return spark.read.parquet(os.path.join(self.root, self._of_digest(digest) if digest else now["directory"], name))

@@ -32,7 +32,7 @@ def _attempt(store: SnapshotStore, new: DataFrame, extract, fingerprints: dict[s
     new = new.cache()
     try:
         fresh_only = force or now is None or now["fingerprints"] != fingerprints
-        old = store.read(spark, "files") if now is not None else new.limit(0)
+        old = store.read(spark, "files", pinned=now) if now is not None else new.limit(0)
         changes = inventory.difference(old, new, trust_metadata=metadata)
         counts = inventory.difference_counts(changes).first().asDict()
         digest = inventory.snapshot_digest(new).first()["digest"]
@@ -42,10 +42,10 @@ def _attempt(store: SnapshotStore, new: DataFrame, extract, fingerprints: dict[s
         tables = extract(redo)
         if not fresh_only:
             same = changes.where("change = 'same'").select(F.col("path").alias("file"))
-            tables = {name: store.read(spark, name, digest=now["digest"]).join(same, "file", "left_semi").unionByName(df) for name, df in tables.items()}
+            tables = {name: store.read(spark, name, pinned=now).join(same, "file", "left_semi").unionByName(df) for name, df in tables.items()}
         tables = {"files": new.drop("source"), **tables}
         tables["sources"] = new.where("source IS NOT NULL").select(F.col("path").alias("file"), "source")
-        store.publish(digest, tables, fingerprints, now["digest"] if now else None, link)
+        store.publish(digest, tables, fingerprints, now["directory"] if now else None, link, force)
         return {"digest": digest, **counts}
     finally:
         new.unpersist()
