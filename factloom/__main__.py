@@ -24,6 +24,9 @@ def parser() -> argparse.ArgumentParser:
     for name in ("symbol", "refs", "context"):
         q = c.add_parser(name)
         q.add_argument("query")
+        fresh = q.add_mutually_exclusive_group()
+        fresh.add_argument("--freshness", choices=("content", "metadata"))
+        fresh.add_argument("--no-refresh", action="store_true")
         q.add_argument("--limit", type=int, default=50)
         if name != "context":
             q.add_argument("--offset", type=int, default=0)

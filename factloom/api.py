@@ -55,24 +55,53 @@ def _check(name: str, value: int, low: int, high: int) -> None:
 
 
 class Engine:
-    """A tree, its snapshots, and queries on them. Each query resolves the current snapshot once and reads only that."""
+    """A tree, its snapshots, and queries on them. A query brings the snapshot up to date first, unless it is told not to,
+    then pins it: all that it reads is of one snapshot, whatever is published meanwhile."""
 
     def __init__(self, spark: SparkSession, root: str, store: str, config: Config = Config()) -> None:
         self.spark, self.root, self.config = spark, root, config
         self.store = SnapshotStore(store)
         self.fingerprints = {"config": config.fingerprint(), "extractor": extract.RULES, "resolver": RULES_VERSION}
+        self.pinned: dict | None = None
+        self.verified = "cached"
 
     # index
 
     def index(self, force: bool = False, freshness: str | None = None, timing: bool = False) -> dict:
         began = time.monotonic()
+        done = self._refresh(freshness, force)
+        t = {n: self.read(n).count() for n in ("symbols", "uses", "bindings")}
+        out = {"schema_version": SCHEMA_VERSION, "index": self.block(), **t, **{k: done[k] for k in ("updated", "unchanged", "deleted")}}
+        return out | ({"elapsed_ms": int((time.monotonic() - began) * 1000)} if timing else {})
+
+    def _refresh(self, freshness: str | None, force: bool = False) -> dict:
+        """Publishes the tree as it is now and pins what is current then."""
+        mode = freshness or self.config.freshness
+        if mode not in ("content", "metadata"):
+            raise Failure("invalid_arguments", f"no such freshness: {mode}", "Freshness is content or metadata.")
         try:
-            done = refresh(self.store, lambda: read_tree(self.spark, self.root, self.config), extract.fact_tables, self.fingerprints, (freshness or self.config.freshness) == "metadata", force, link=self._link)
+            done = refresh(self.store, lambda: read_tree(self.spark, self.root, self.config), extract.fact_tables, self.fingerprints, mode == "metadata", force, link=self._link)
         except Conflict as e:
             raise Failure("repository_changed", str(e), "Run again when nothing else writes.") from e
-        t = {n: self.store.read(self.spark, n).count() for n in ("symbols", "uses", "bindings")}
-        out = {"schema_version": SCHEMA_VERSION, "index": self.block(freshness or self.config.freshness), **t, **{k: done[k] for k in ("updated", "unchanged", "deleted")}}
-        return out | ({"elapsed_ms": int((time.monotonic() - began) * 1000)} if timing else {})
+        self.pinned, self.verified = self.store.current(), mode
+        return done
+
+    def _acquire(self, query: str, freshness: str | None, no_refresh: bool) -> None:
+        """The snapshot that a query reads: of the tree as it is now, or with no_refresh the last one as it is."""
+        if no_refresh and freshness:
+            raise Failure("invalid_arguments", "freshness and no-refresh exclude each other", "Give one of them.")
+        self._check_query(query)
+        if no_refresh:
+            self.pinned, self.verified = self.store.current(), "cached"
+        else:
+            self._refresh(freshness)
+
+    @staticmethod
+    def _check_query(query: str) -> None:
+        try:
+            lookup.file_line(query)
+        except ValueError as e:
+            raise Failure("invalid_arguments", str(e), "Give a path inside the tree and a line from 1.") from e
 
     @staticmethod
     def _link(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -80,7 +109,7 @@ class Engine:
 
     def read(self, name: str) -> DataFrame:
         try:
-            return self.store.read(self.spark, name, self.fingerprints)
+            return self.store.read(self.spark, name, self.fingerprints, pinned=self.pinned)
         except (FileNotFoundError, Incompatible) as e:
             raise Failure("repository_unavailable", str(e), "Run index first.") from e
 
@@ -89,7 +118,7 @@ class Engine:
         bad = self.read("diagnostics").groupBy(F.col("file").alias("path")).agg(F.min("code").alias("code"))
         return self.read("files").join(bad, "path", "left").withColumn("parse_status", F.coalesce("code", "parse_status")).drop("code")
 
-    def block(self, freshness: str) -> dict:
+    def block(self) -> dict:
         """Snapshot, coverage and the first diagnostics."""
         files = self.files()
         c = inventory.coverage(files).first().asDict()
@@ -101,7 +130,7 @@ class Engine:
         every = parsed.unionByName(rest.select(F.col("path").alias("file"), pick(0).alias("code"), pick(1).alias("detail"), F.lit(None).cast("long").alias("start_byte")))
         items = [{k: r[k] for k in ("file", "code", "detail")} | ({"start_byte": r["start_byte"]} if r["start_byte"] is not None else {}) for r in inventory.first_diagnostics(every).collect()]
         total = every.count()
-        return {"snapshot": self.store.current()["digest"], "freshness": freshness, "coverage": {"complete": c["complete"], "files_seen": c["seen"], "files_indexed": c["indexed"], "skipped": skipped}, "diagnostics": {"total": total, "truncated": total > len(items), "items": items}}
+        return {"snapshot": self.pinned["digest"], "freshness": self.verified, "coverage": {"complete": c["complete"], "files_seen": c["seen"], "files_indexed": c["indexed"], "skipped": skipped}, "diagnostics": {"total": total, "truncated": total > len(items), "items": items}}
 
     # targets
 
@@ -111,10 +140,7 @@ class Engine:
 
     def resolve(self, query: str, limit: int = 50, offset: int = 0) -> dict:
         """The one symbol that a query names, as a dict of its columns."""
-        try:
-            lookup.file_line(query)
-        except ValueError as e:
-            raise Failure("invalid_arguments", str(e), "Give a path inside the tree and a line from 1.") from e
+        self._check_query(query)
         symbols = self.symbols()
         form, found = lookup.resolve(symbols, query)
         n = found.count()
@@ -164,10 +190,11 @@ class Engine:
             out.append({k: d[k] for k in REFERENCE_KEYS})
         return out
 
-    def refs(self, query: str, mode: str = "references", kinds: list[str] | None = None, min_resolution: str = "name_match", limit: int = 50, offset: int = 0) -> dict:
+    def refs(self, query: str, mode: str = "references", kinds: list[str] | None = None, min_resolution: str = "name_match", limit: int = 50, offset: int = 0, freshness: str | None = None, no_refresh: bool = False) -> dict:
         self._validate(limit, offset, min_resolution)
         if mode not in ("references", "candidates") or set(kinds or ()) - set(S.REF_KINDS):
             raise Failure("invalid_arguments", "no such mode or kind", "Modes are references and candidates.")
+        self._acquire(query, freshness, no_refresh)
         target = self.resolve(query, limit, offset)
         found, excluded = self._matches(target, mode, kinds)
         found = found.where(S.at_least(F.col("resolution"), min_resolution)).cache()
@@ -175,14 +202,15 @@ class Engine:
         total = sum(by.values())
         page = self._objects(found.orderBy(*match.reference_order()).offset(offset).limit(limit))
         found.unpersist()
-        return {"schema_version": SCHEMA_VERSION, "index": self.block("cached"), "symbol": _symbol(target), "mode": mode, "total": total, "truncated": total > len(page), "next_offset": offset + limit if total > offset + limit else None, "by_resolution": {k: by.get(k, 0) for k in S.RESOLUTIONS}, "by_exclusion": excluded, "references": page}
+        return {"schema_version": SCHEMA_VERSION, "index": self.block(), "symbol": _symbol(target), "mode": mode, "total": total, "truncated": total > len(page), "next_offset": offset + limit if total > offset + limit else None, "by_resolution": {k: by.get(k, 0) for k in S.RESOLUTIONS}, "by_exclusion": excluded, "references": page}
 
-    def symbol(self, query: str, min_resolution: str = "scoped", limit: int = 50, offset: int = 0, source: bool = False, signature_only: bool = False) -> dict:
+    def symbol(self, query: str, min_resolution: str = "scoped", limit: int = 50, offset: int = 0, source: bool = False, signature_only: bool = False, freshness: str | None = None, no_refresh: bool = False) -> dict:
         self._validate(limit, offset, min_resolution)
         if source and signature_only:
             raise Failure("invalid_arguments", "source and signature-only exclude each other", "Give one of them.")
+        self._acquire(query, freshness, no_refresh)
         target = self.resolve(query, limit, offset)
-        out = {"schema_version": SCHEMA_VERSION, "index": self.block("cached"), "symbol": _symbol(target), "signature": target["signature"], "doc_comment": target["doc_comment"], "parent": target["parent_id"]}
+        out = {"schema_version": SCHEMA_VERSION, "index": self.block(), "symbol": _symbol(target), "signature": target["signature"], "doc_comment": target["doc_comment"], "parent": target["parent_id"]}
         if not signature_only:
             links = self.read("bindings").select("use_id", "target_id", "resolution")
             calls = match.bound_uses(self.read("uses").where((F.col("containing_symbol") == target["id"]) & (F.col("ref_kind") == "call")), links)
@@ -206,13 +234,14 @@ class Engine:
 
     # context
 
-    def context(self, query: str, tokens: int | None = None, depth: int | None = None, collapse: str = "auto", tests: bool = True, callers: bool = True, callees: bool = True, limit: int = 50) -> dict:
+    def context(self, query: str, tokens: int | None = None, depth: int | None = None, collapse: str = "auto", tests: bool = True, callers: bool = True, callees: bool = True, limit: int = 50, freshness: str | None = None, no_refresh: bool = False) -> dict:
         tokens, depth = tokens or self.config.token_budget, depth or self.config.max_depth
         _check("tokens", tokens, 1, 1_000_000)
         _check("depth", depth, 1, 2)
         self._validate(limit, 0, "name_match")
         if collapse not in FORMS:
             raise Failure("invalid_arguments", "collapse is auto, always or never", "Choose one of them.")
+        self._acquire(query, freshness, no_refresh)
         target = self.resolve(query, limit)
         symbols, uses = self.symbols().cache(), self.read("uses")
         links = self.read("bindings").select("use_id", "target_id", "resolution")
@@ -243,7 +272,7 @@ class Engine:
                 taken.append(c | {"form": fits[0][0], "source": fits[0][1]})
                 used += cost(fits[0][1])
         segments = [{"symbol": _symbol(c), "form": c["form"], "reason": c["reason"], "resolution": c["resolution"], "estimated_tokens": cost(c["source"]), "source": c["source"]} for c in taken]
-        return {"schema_version": SCHEMA_VERSION, "index": self.block("cached"), "symbol": _symbol(target), "budget_tokens": tokens, "estimated_tokens": used, "tokenizer": TOKENIZER, "budget_scope": "source", "segments": segments, "omitted": omitted, "candidate_limit_reached": len(rows) >= context.CANDIDATE_CAP}
+        return {"schema_version": SCHEMA_VERSION, "index": self.block(), "symbol": _symbol(target), "budget_tokens": tokens, "estimated_tokens": used, "tokenizer": TOKENIZER, "budget_scope": "source", "segments": segments, "omitted": omitted, "candidate_limit_reached": len(rows) >= context.CANDIDATE_CAP}
 
     @staticmethod
     def _validate(limit: int, offset: int, min_resolution: str) -> None:

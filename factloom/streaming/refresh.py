@@ -35,6 +35,8 @@ def _attempt(store: SnapshotStore, new: DataFrame, extract, fingerprints: dict[s
         old = store.read(spark, "files", pinned=now) if now is not None else new.limit(0)
         changes = inventory.difference(old, new, trust_metadata=metadata)
         counts = inventory.difference_counts(changes).first().asDict()
+        if fresh_only:  # every file's facts are made anew
+            counts |= {"updated": counts["updated"] + counts["unchanged"], "unchanged": 0}
         digest = inventory.snapshot_digest(new).first()["digest"]
         redo = new.where("parse_status = 'ok'")
         if not fresh_only:
