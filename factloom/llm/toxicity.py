@@ -98,7 +98,9 @@ class Vocabulary:
         self.whole = {g[1:]: k for k, g in enumerate(levels) if g[0] == "="}
         self.begins = {g[1:]: k for k, g in enumerate(levels) if g[0] == "^"}
         self.lengths = sorted({len(g) for g in self.begins})
-        self.starts = frozenset(g[: PREFIXES[0]] for g in self.begins)
+        # a word with any gram begins with one of threes or fours, or its first five letters are one of fives
+        self.threes, self.fours = (frozenset(g for g in self.begins if len(g) == k) for k in (3, 4))
+        self.fives = frozenset(g[:5] for g in (*self.whole, *(g for g in self.begins if len(g) > 4)))
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
@@ -107,8 +109,7 @@ class Vocabulary:
     def _learn(self, word: str) -> tuple[int, ...]:
         """The word's grams that any weighted term has."""
         found = (self.whole[word],) if word in self.whole else ()
-        if word[: PREFIXES[0]] in self.starts:
-            found += tuple(k for n in self.lengths if n < len(word) and (k := self.begins.get(word[:n])) is not None)
+        found += tuple(self.begins[word[:n]] for n in self.lengths if n < len(word) and word[:n] in self.begins)
         if len(word) <= _CACHED_LETTERS:
             if len(self.known) >= _CACHED_WORDS:
                 self.known.clear()
@@ -119,7 +120,8 @@ class Vocabulary:
         """The numbers of the text's weighted terms, ascending."""
         words, known = _WORD.findall(text.lower()), self.known
         size, some = len(words), []
-        for word, n in Counter(words).items():
+        threes, fours, fives = self.threes, self.fours, self.fives
+        for word, n in [x for x in Counter(words).items() if (w := x[0])[:5] in fives or w[:4] in fours or w[:3] in threes]:
             found = known.get(word)
             if found is None:
                 found = self._learn(word)

@@ -394,6 +394,15 @@ def test_caches_are_bounded_and_emptied():
     assert words.terms_of("badly bad").tolist() == [0, 1] and words.terms_of("x" * 100).tolist() == []
 
 
+def test_toxicity_finds_each_term_of_a_text():
+    words = ["a", "ab", "abc", "abcd", "abcde", "abcdef", "abcdefg", "abcdefgh", "abd", "bcdefghij", "xyzzy"]
+    every = sorted({t for w in words for t in toxicity.terms(" ".join([w] * 3))})
+    for keep in (every, [t for t in every if t[0] == "="], [t for t in every if t[0] == "^"], *([t] for t in every)):
+        vocabulary = toxicity.Vocabulary(dict.fromkeys(keep, 1.0))
+        for text in (*words, " ".join(words * 2), "ABCDEFG abce abcdx, bcdefgh", ""):
+            assert vocabulary.terms_of(text).tolist() == [k for k, t in enumerate(sorted(keep)) if t in toxicity.terms(text)]
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.scored(docs(spark, [(1, "a")]), none).collect()] == [0.5]
