@@ -389,8 +389,8 @@ def test_caches_are_bounded_and_emptied():
     assert not model.known and not model.fits
     words = toxicity.Vocabulary({"=bad": 1.0, "^bad": 1.0})
     for k in range(toxicity._CACHED_WORDS + 1000):
-        words.terms_of(f"{chr(97 + k % 26)}{''.join(chr(97 + int(c)) for c in str(k))}")
-    assert len(words.known) <= toxicity._CACHED_WORDS
+        words.terms_of(f"bad{chr(97 + k % 26)}{''.join(chr(97 + int(c)) for c in str(k))}")
+    assert 0 < len(words.known) <= toxicity._CACHED_WORDS
     assert words.terms_of("badly bad").tolist() == [0, 1] and words.terms_of("x" * 100).tolist() == []
 
 
