@@ -58,19 +58,6 @@ def s22_token_columns(spark, d):
     return B.table(spark, d, "orders").where(F.col("o_orderpriority").rlike("^[A-Za-z0-9 -]+$")).select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT page_id, n AS line, length(string_split(html, '>')[n]) AS width FROM (SELECT page_id, html, unnest(range(1, len(string_split(html, '>')) + 1)) AS n FROM pages) WHERE n % 50 = 1")
-def x32_line_starts(spark, d):
-    parts = B.table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", ">")).alias("pos", "part"))
-    return parts.where("pos % 50 = 0").select("page_id", (F.col("pos") + 1).cast("long").alias("line"), F.length("part").cast("long").alias("width"))
-
-
-@query("SELECT doc_id, length(left_part) - length(replace(left_part, chr(10), '')) + 1 AS line FROM (SELECT doc_id, substr(text, 1, 100) AS left_part FROM documents WHERE lang = 'en')")
-def x32_line_of_byte(spark, d):
-    t = B.table(spark, d, "documents").where("lang = 'en'")
-    head = F.substring("text", 1, 100)
-    return t.select("doc_id", S.line_of(F.col("text").cast("binary"), F.octet_length(head)).cast("long").alias("line"))
-
-
 @query("SELECT page_id, n AS line, length(string_split(html, '>')[n]) AS width FROM (SELECT page_id, html, unnest(range(1, len(string_split(html, '>')) + 1)) AS n FROM pages)")
 def x32_all_line_starts(spark, d):
     parts = B.table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", ">")).alias("pos", "part"))
@@ -159,18 +146,8 @@ def j03_refs_by_target(spark, d):
     return match.reference_counts(*B.facts(spark, d))
 
 
-@query(WITH_FACTS + """, t AS (SELECT * FROM sy WHERE kind = 'class' AND file = (SELECT min(file) FROM sy))
-SELECT t.id AS target, count(*) FILTER (WHERE us.target_id = t.id AND resolution = 'exact') AS n_exact, count(*) FILTER (WHERE us.target_id = t.id AND resolution = 'scoped') AS n_scoped, count(*) FILTER (WHERE us.target_id IS DISTINCT FROM t.id) AS n_name_match, count(*) AS total
-FROM t JOIN us ON us.ref_kind = 'call' AND (us.target_id = t.id OR us.lookup_name = t.lookup_name) GROUP BY t.id
-UNION ALL SELECT id, 0, 0, 0, 0 FROM t WHERE NOT EXISTS (SELECT 1 FROM us WHERE us.ref_kind = 'call' AND (us.target_id = t.id OR us.lookup_name = t.lookup_name))""")
-def j03_candidates(spark, d):
-    s, u, b = B.facts(spark, d)
-    first = s.agg(F.min("file").alias("file"))
-    t = s.where("kind = 'class'").join(F.broadcast(first), "file", "left_semi")
-    return match.counts_by_resolution(match.references(t, u, b, "candidates", ["call"]), t)
-
-
-@query()
+@query(WITH_FACTS + """, m AS (SELECT sy.id, us.use_id, resolution FROM sy JOIN us ON us.target_id = sy.id WHERE ref_kind = 'call' UNION ALL SELECT sy.id, us.use_id, 'name_match' FROM sy JOIN us USING (lookup_name) WHERE ref_kind = 'call' AND us.target_id IS DISTINCT FROM sy.id)
+SELECT sy.id AS target, count(*) FILTER (WHERE m.resolution = 'exact') AS n_exact, count(*) FILTER (WHERE m.resolution = 'scoped') AS n_scoped, count(*) FILTER (WHERE m.resolution = 'name_match') AS n_name_match, count(m.use_id) AS total FROM sy LEFT JOIN m USING (id) GROUP BY sy.id""")
 def j03_all_candidates(spark, d):
     return match.candidate_counts(*B.facts(spark, d), ["call"])
 
@@ -190,12 +167,13 @@ def j06_unique_members(spark, d):
     return match.unique_by(B.symbols(spark, d).where("parent_id IS NOT NULL"), ["parent_id", "kind", "lookup_name"])
 
 
-@query("""WITH RECURSIVE l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path, unnest(regexp_extract_all(html, 'href="([^"#?]+)"', 1)) AS href FROM pages)
-SELECT page_id, array_to_string(list_concat(string_split(path, '/')[1:len(string_split(path, '/')) - 1], list_filter(string_split('.' || href, '/'), lambda x: x <> '.' AND x <> '')), '/') AS target, count(*) AS n FROM l WHERE href LIKE '/%' AND NOT contains(href, '..') GROUP BY ALL""")
+@query("""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path, unnest(regexp_extract_all(html, 'href="([^"#?]+)"', 1)) AS href FROM pages),
+st AS (SELECT page_id, list_filter(list_concat(string_split(path, '/')[1:len(string_split(path, '/')) - 1], string_split(CASE WHEN page_id % 3 = 0 THEN '.' ELSE '../..' END || '/' || href, '/')), lambda x: x <> '' AND x <> '.') AS steps FROM l)
+SELECT page_id, target, count(*) AS n FROM (SELECT page_id, CASE WHEN list_bool_and(list_transform(range(1, len(steps) + 1), lambda k: 2 * len(list_filter(steps[1:k], lambda x: x = '..')) <= k)) THEN array_to_string(list_concat(steps[1:greatest(coalesce(list_position(steps, '..'), 1) - 1 - len(list_filter(steps, lambda x: x = '..')), 0)], list_filter(steps[coalesce(list_position(steps, '..'), 1):], lambda x: x <> '..')), '/') END AS target FROM st) GROUP BY ALL""")
 def j13_joined_paths(spark, d):
     p = B.table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1).alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"#?]+)"'), F.lit(1))).alias("href"))
-    some = p.where(F.col("href").startswith("/") & ~F.contains("href", F.lit("..")))
-    return some.groupBy("page_id", S.joined_path(F.col("path"), F.concat(F.lit("."), F.col("href"))).alias("target")).agg(F.count("*").alias("n"))
+    up = F.when(F.col("page_id") % 3 == 0, "./").otherwise("../../")
+    return p.groupBy("page_id", S.joined_path(F.col("path"), F.concat(up, F.col("href"))).alias("target")).agg(F.count("*").alias("n"))
 
 
 @query(WITH_FACTS + """, pl AS (SELECT DISTINCT file, start_line + 3 AS line FROM sy), inn AS (SELECT pl.file, pl.line, id, start_byte, end_byte FROM pl JOIN sy ON sy.file = pl.file AND pl.line BETWEEN start_line AND end_line)
@@ -205,16 +183,9 @@ def j19_innermost(spark, d):
     return lookup.innermost(s, s.select("file", (F.col("start_line") + 3).alias("line")))
 
 
-@query(WITH_FACTS + """, t AS (SELECT * FROM sy WHERE kind = 'method' AND file = (SELECT min(file) FROM sy)), m AS (SELECT t.id AS target, us.*, CASE WHEN us.target_id = t.id THEN us.resolution ELSE 'name_match' END AS r FROM t JOIN us ON us.target_id = t.id OR (us.target_id IS NULL AND us.lookup_name = t.lookup_name))
-SELECT target, count(*) FILTER (WHERE r = 'name_match' AND (ref_kind = 'type' OR receiver IS NULL)) AS by_form, count(*) FILTER (WHERE r = 'name_match' AND ref_kind <> 'type' AND receiver IS NOT NULL AND use_id % 5 = 0) AS by_receiver,
-count(*) FILTER (WHERE r <> 'name_match' OR (ref_kind <> 'type' AND receiver IS NOT NULL AND use_id % 5 <> 0)) AS kept FROM m GROUP BY target""")
-def j20_exclusions(spark, d):
-    s, u, b = B.facts(spark, d)
-    t = s.where("kind = 'method'").join(F.broadcast(s.agg(F.min("file").alias("file"))), "file", "left_semi")
-    return match.exclusion_counts(match.references(t, u, b), F.lit("method"), F.col("use_id") % 5 == 0)
-
-
-@query()
+@query(WITH_FACTS + """, m AS (SELECT sy.id, kind, use_id, ref_kind, receiver, resolution AS r FROM sy JOIN us ON us.target_id = sy.id UNION ALL SELECT sy.id, kind, use_id, ref_kind, receiver, 'name_match' FROM sy JOIN us USING (lookup_name) WHERE us.target_id IS NULL),
+f AS (SELECT id, r, use_id, CASE kind WHEN 'method' THEN ref_kind IN ('call', 'read') AND receiver IS NOT NULL WHEN 'function' THEN ref_kind = 'call' AND receiver IS NULL ELSE ref_kind = 'type' END AS fits FROM m)
+SELECT id AS target, count(*) FILTER (WHERE r = 'name_match' AND NOT fits) AS by_form, count(*) FILTER (WHERE r = 'name_match' AND fits AND use_id % 5 = 0) AS by_receiver, count(*) FILTER (WHERE r <> 'name_match' OR (fits AND use_id % 5 <> 0)) AS kept FROM f GROUP BY id""")
 def j20_all_exclusions(spark, d):
     return match.exclusion_counts_of_all(*B.facts(spark, d), F.col("use_id") % 5 == 0)
 
@@ -254,7 +225,7 @@ def g06_related_classes(spark, d):
     return hierarchy.class_relation(ups, regions).select("target", F.size("related").cast("long").alias("n_related"))
 
 
-_NEIGHBOURS = """, t AS (SELECT id AS target FROM sy WHERE file = (SELECT min(file) FROM sy)), nb AS (
+_NEIGHBOURS = """, t AS (SELECT id AS target FROM sy), nb AS (
 SELECT target, target_id AS id, CASE WHEN ref_kind = 'type' THEN 'type' ELSE 'callee' END AS reason, resolution FROM us JOIN t ON containing_symbol = target WHERE target_id IS NOT NULL AND target_id <> target
 UNION ALL SELECT target, containing_symbol, 'caller', resolution FROM us JOIN t ON target_id = target WHERE containing_symbol <> target
 UNION ALL SELECT target, parent_id, 'parent', 'exact' FROM sy JOIN t ON id = target WHERE parent_id IS NOT NULL AND parent_id <> target),
@@ -263,20 +234,6 @@ be AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY target, id ORDER
 
 
 @query(WITH_FACTS + _NEIGHBOURS + "SELECT target, id, reason, resolution, 1 AS depth, row_number() OVER (PARTITION BY target ORDER BY p, q, file, start_byte, id) AS rank FROM be QUALIFY rank <= 1000")
-def g08_neighbours(spark, d):
-    s, u, b = B.facts(spark, d)
-    t = s.join(F.broadcast(s.agg(F.min("file").alias("file"))), "file", "left_semi").select("id")
-    return context.traversal(s, u, b, t, depth=1)
-
-
-@query()
-def g09_traversal(spark, d):
-    s, u, b = B.facts(spark, d)
-    t = s.join(F.broadcast(s.agg(F.min("file").alias("file"))), "file", "left_semi").select("id")
-    return context.traversal(s, u, b, t, depth=2)
-
-
-@query()
 def g08_all_neighbours(spark, d):
     s, u, b = B.facts(spark, d)
     return context.traversal(s, u, b, s.select("id"), depth=1)
@@ -315,7 +272,7 @@ def rf03_inventory_difference(spark, d):
 
 @query(WITH_INVENTORY + "SELECT path FROM i0 WHERE path NOT IN (SELECT path FROM i1)")
 def u03_deleted_paths(spark, d):
-    return B.inventory(spark, d).join(B.inventory(spark, d, later=True), "path", "left_anti").select("path")
+    return inventory.difference(B.inventory(spark, d), B.inventory(spark, d, later=True)).where("change = 'deleted'").select("path")
 
 
 @query(WITH_INVENTORY + "SELECT path AS file, parse_status AS code, size AS start_byte, (SELECT count(*) FROM i0 WHERE parse_status <> 'ok') AS total FROM i0 WHERE parse_status <> 'ok' ORDER BY path, parse_status, size LIMIT 50")
@@ -395,7 +352,7 @@ def a21_timing_summary(spark, d):
 @query(WITH_FACTS + "SELECT ref_kind, resolution, count(*) AS n FROM us WHERE resolution IS NOT NULL GROUP BY ALL")
 def a22_bindings_by_tier(spark, d):
     _, u, b = B.facts(spark, d)
-    return u.join(b, "use_id").groupBy("ref_kind", "resolution").agg(F.count("*").alias("n"))
+    return match.bound_uses(u, b).where("resolution IS NOT NULL").groupBy("ref_kind", "resolution").agg(F.count("*").alias("n"))
 
 
 @query("""WITH g AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS a, list_distinct(list(o_orderstatus || '-' || o_orderpriority)) AS s FROM orders GROUP BY o_custkey), h AS (SELECT o_custkey, len(a) AS na, len(list_filter(a, lambda x: x <> '1-URGENT')) AS hits FROM g)
@@ -423,11 +380,6 @@ def w07_spending(spark, d):
     return study.spending(e, 500000).select(F.col("index").alias("o_orderkey"), F.round("spent", 2).alias("spent"), "over")
 
 
-@query(WITH_FACTS + "SELECT id, name, qualified_name FROM sy ORDER BY file, start_byte, id LIMIT 50")
-def t02_symbol_order(spark, d):
-    return B.symbols(spark, d).orderBy(*lookup.symbol_order()).limit(50).select("id", "name", "qualified_name")
-
-
 @query(WITH_FACTS + "SELECT id, name, qualified_name FROM sy ORDER BY file, start_byte, id")
 def t02_all_symbols_in_order(spark, d):
     return B.symbols(spark, d).orderBy(*lookup.symbol_order()).select("id", "name", "qualified_name")
@@ -467,10 +419,10 @@ def t09_overlap_fit(spark, d):
     return context.overlap_fit(items, 4000)
 
 
-@query("SELECT conv_id, turn, regexp_replace(regexp_replace(trim(text), '/+', '/', 'g'), '^(\\./)+', '') AS path FROM conversations WHERE role = 'user' AND NOT contains(text, '\\') AND text = trim(text)")
+@query("SELECT conv_id, turn, regexp_replace(regexp_replace(replace(trim('./.\\' || replace(text, ' ', '\\') || ' '), '\\', '/'), '/+', '/', 'g'), '^(\\./)+', '') AS path FROM conversations")
 def b02_normalized_paths(spark, d):
-    t = B.table(spark, d, "conversations").where((F.col("role") == "user") & ~F.contains("text", F.lit("\\")) & (F.col("text") == F.trim("text")))
-    return t.select("conv_id", "turn", study.normalized_path(F.col("text")).alias("path"))
+    path = F.concat(F.lit("./.\\"), F.replace("text", F.lit(" "), F.lit("\\")), F.lit(" "))
+    return B.table(spark, d, "conversations").select("conv_id", "turn", study.normalized_path(path).alias("path"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^[A-D]') THEN 'early' WHEN regexp_matches(text, '[0-9]') THEN 'digits' END AS class FROM conversations")
