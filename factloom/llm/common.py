@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 SHARED_DIR = "spark.checkpoint.dir"
+#: Up to so many row numbers (8 bytes each, some 50 MB in a hash table) are sent to the texts; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 2_000_000
 
 _local_dir: list[str] = []
 _written: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
@@ -89,6 +91,16 @@ def numbered(documents: DataFrame, name: str = "numbered") -> DataFrame:
     return persisted(documents.select(F.monotonically_increasing_id().alias("row"), F.struct(*documents.columns).alias("doc")), name, keep=True)
 
 
+def keyed(documents: DataFrame) -> tuple[DataFrame, bool]:
+    """(row, doc) as numbered() gives them, and whether row is the doc_id. That it is where no id is null or occurs twice;
+    then nothing is written, and documents are read again wherever they are needed."""
+    doc_id = F.col("doc_id").cast("long")
+    n, ids = documents.select(F.count("*"), F.countDistinct(doc_id)).first()
+    if n > ids:
+        return numbered(documents), False
+    return documents.select(doc_id.alias("row"), F.struct(*documents.columns).alias("doc")), True
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     """A broadcast hint only where the counted rows stay under the bound; Spark shuffles both sides otherwise."""
     return F.broadcast(df) if rows <= most_rows else df

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import broadcast_if_small, numbered, persisted, scratch
+from factloom.llm.common import BROADCAST_ROWS, broadcast_if_small, keyed, persisted, scratch
 
 MIN_WORDS = 50  # passages of more words go
 DIVISOR = 8  # a boundary after one line in so many, on average
@@ -84,13 +84,17 @@ def removals(documents: DataFrame) -> DataFrame:
 
 def _cut(documents: DataFrame) -> DataFrame:
     """doc (a row's columns), text (what is left of it), n_lines, n_removed."""
-    each = numbered(documents)
-    key = F.struct(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("row").alias("n"))
-    n, ids = each.select(F.count("*"), F.countDistinct("doc.doc_id")).first()
-    keyed = each.select((F.col("doc.doc_id").cast("long") if n == ids else key).alias("row"), "doc")
+    each, by_id = keyed(documents)
+    if not by_id:
+        each = each.select(F.struct(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("row").alias("n")).alias("row"), "doc")
     with scratch():
-        spans = persisted(removals(keyed.select("row", "doc.text")), "spans", keep=True)
-    joined = keyed.join(spans, "row", "left")
+        spans = persisted(removals(each.select("row", "doc.text")), "spans", keep=True)
+    if spans.count() <= BROADCAST_ROWS:  # texts that stay as they are aren't shuffled
+        ids = F.broadcast(spans.select("row"))
+        rest = each.join(ids, "row", "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+        joined = each.join(ids, "row", "left_semi").join(spans, "row").unionByName(rest)
+    else:
+        joined = each.join(spans, "row", "left")
     # spans are merged first, so that every line is looked up in few of them
     merged = F.aggregate(
         "spans", F.array().cast("array<struct<first:int,last:int>>"),

@@ -544,3 +544,17 @@ def test_quality_model_counts_every_labelled_document(spark, monkeypatch):
     assert np.allclose(quality.model(rows, labels), share(target) - share(raw), atol=1e-12)
     monkeypatch.setattr(quality, "MOST_IN_PLACE", 0)
     assert np.allclose(quality.model(rows, labels), share(target) - share(raw), atol=1e-12)
+
+
+def test_line_dedup_leaves_no_copy_of_texts(spark, tmp_path, monkeypatch):
+    """Unique ids number the rows; only repeated or null ids need a written copy. Either way the same lines go."""
+    from factloom.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    passage = "\n".join(" ".join(f"p{r}w{k}" for k in range(30)) for r in range(3))
+    texts = ["a\n" + passage, "b\n" + passage + "\nc", "d", None]
+    left = ["a\n" + passage, "b\nc", "d", None]
+    for ids, copied in (([1, 2, 3, 4], False), ([1, 2, 2, None], True)):
+        rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        assert sorted(map(str, (r["text"] for r in line_dedup.deduplicated(rows).collect()))) == sorted(map(str, left))
+        assert any("numbered" in p.name for p in tmp_path.iterdir()) == copied
