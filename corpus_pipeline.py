@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import bpe, decontam, line_dedup, similar, toxicity
-from factloom.llm.common import numbered, persisted, table
+from factloom.llm.common import BROADCAST_ROWS, broadcast_if_small, keyed, persisted, table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a benchmark passage go, whatever their ids; others that share an id with one stay."""
-    each = numbered(docs)
-    found = decontam.contamination(each.select("row", "doc.doc_id", "doc.text"), table(spark, sf_dir, "benchmark"), row="row")
-    return each.join(found.where("contaminated").select("row"), "row", "left_anti").select("doc.*")
+    each, _ = keyed(docs)
+    gone = decontam.contamination(each.select("row", "doc.doc_id", "doc.text"), table(spark, sf_dir, "benchmark"), row="row").where("contaminated").select("row")
+    return each.join(broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), "row", "left_anti").select("doc.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,14 @@ def shingles(text: str, words: int = SHINGLE_WORDS) -> list[str]:
     return list(map(" ".join, zip(*(found[k:] for k in range(words)), strict=False)))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Of 64-bit hashes (unsigned) the bits that over half of them hold; 0 of none."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _HASHED):
+        counts += np.unpackbits(hashes[at : at + _HASHED].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     """As an unsigned integer; bit k stands for the hashes' bit of value 2**k."""
     parts = shingles(text, words)

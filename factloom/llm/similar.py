@@ -1,11 +1,14 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
-Documents with equal sets of shingles are merged first (by a 64-bit digest of the set). Candidates come from MinHash
-bands: BANDS keys of BAND_ROWS minima each, so two sets of similarity s share no key with probability
-(1 - s ** BAND_ROWS) ** BANDS, 3e-6 at 0.8 and less above. Fingerprint bits can't take their place: at 0.8 two SimHash
-fingerprints differ in about ten of 64 bits, far beyond what anchors can cover. Every candidate is then compared
-exactly: first each document with the smallest one of its band; then, in the bands that this leaves in more than one
-component, all against all, in blocks of bounded size. Components are joined by the distributed star algorithm.
+Documents with equal sets of shingles are merged first (by a 64-bit digest of the set). Candidates are named twice over.
+SimHash: each set has a fingerprint, and operator 6's anchors (simhash.linked) name the fingerprints within
+simhash.THRESHOLD bits; sets of one fingerprint are candidates as well. At a similarity of 0.8 fingerprints differ in
+about ten of 64 bits, and up to 23 where none in a million is to be missed, far beyond what anchors can cover. So, for
+the pairs further apart, MinHash bands: BANDS keys of BAND_ROWS minima each, so two sets of similarity s share no key
+with probability (1 - s ** BAND_ROWS) ** BANDS, 3e-6 at 0.8 and less above. Every candidate is then compared exactly:
+first the pairs by SimHash, and each document with the smallest one of its band; then, in the bands that this leaves in
+more than one component, all against all, in blocks of bounded size. Components are joined by the distributed star
+algorithm. Texts stay where they are: what is written has a row's number in their place, but for candidates' texts.
 
 Defined cases: texts without words (null, empty) are copies of each other; a null doc_id takes part, but isn't a
 candidate for the smallest id while its group has another. Repeated rows repeat in the result of near_duplicates; one of
@@ -23,11 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from factloom.llm.common import persisted, scratch, slices
+from factloom.llm.common import BROADCAST_ROWS, broadcast_if_small, keyed, persisted, scratch, slices
 from factloom.llm.components import components, spanning_edges
-from factloom.llm.simhash import SEED, shingles
+from factloom.llm.simhash import SEED, linked, majority, shingles
 
 WORDS = 5
 #: Least similarity, as a fraction of integers, so that the limit itself counts exactly.
@@ -63,20 +65,28 @@ def alike(common: np.ndarray, one: np.ndarray, other: np.ndarray, similarity: tu
     return common * similarity[1] >= similarity[0] * (one + other - common)
 
 
-def signatures(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """row, doc (all columns of a document), node (digest of the set of shingles), keys."""
-    each = documents.select(F.monotonically_increasing_id().alias("row"), F.struct(*documents.columns).alias("doc"))
-    at = documents.columns.index("text")
+def signatures(each: DataFrame, words: int = WORDS) -> DataFrame:
+    """row, doc_id, node (digest of the set of shingles), fp (its SimHash), keys. each: row, doc (a row's columns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(1).field(at).to_pylist()
-            sets = [shingle_set(t or "", words) for t in texts]
+            sets = [shingle_set(t or "", words) for t in batch.column(2).to_pylist()]
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            fps = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), keys], ["row", "doc", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps), keys], ["row", "doc_id", "node", "fp", "keys"])
 
-    return each.mapInArrow(run, T.StructType([*each.schema, T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    texts = each.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), "doc.text")
+    return texts.mapInArrow(run, "row long, doc_id long, node long, fp long, keys array<long>")
+
+
+def near_fingerprints(sets: DataFrame) -> DataFrame:
+    """Pairs (hub, node) of different nodes that equal fingerprints or operator 6's anchors put together. sets: node, fp."""
+    of = persisted(sets.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")), "simhash")
+    same = sets.join(of.where("n > 1"), "fp").where("node <> hub").select("hub", "node")
+    edges = persisted(linked(of.select("fp")), "anchored")
+    at = lambda end, name: of.select(F.col("fp").alias(end), F.col("hub").alias(name))
+    return edges.join(at("u", "node"), "u").join(at("v", "hub"), "v").select("hub", "node").unionByName(same)
 
 
 def _with_first(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
@@ -132,17 +142,20 @@ def _among_all(bands: DataFrame, texts: DataFrame, words: int, similarity: tuple
     return rows.groupBy("key", "i", "j").applyInPandas(run, "u long, v long")
 
 
-def _grouped(documents: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """(signatures; node, component and first: the smallest row of the node by id, null ids last)."""
-    signed = persisted(signatures(documents, words), "signatures", keep=True)
-    doc_id = F.col("doc.doc_id").cast("long")
-    first = F.min(F.struct(doc_id.isNull().alias("unnamed"), doc_id.alias("doc_id"), F.col("row"))).alias("first")
-    sets = persisted(signed.groupBy("node").agg(first, F.first("keys").alias("keys")), "sets")
+def _grouped(each: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(signatures; node, component and first: the smallest row of the node by id, null ids last). each: row, doc."""
+    signed = persisted(signatures(each, words), "signatures", keep=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    sets = persisted(signed.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
     spread = sets.select("node", F.explode("keys").alias("key"))
     hubs = spread.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     bands = persisted(spread.join(hubs, "key").select("key", "node", "hub"), "bands")
-    texts = persisted(signed.select("node", F.coalesce("doc.text", F.lit("")).alias("text")).join(bands.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "candidates")
-    links = persisted(_with_first(bands.where("node <> hub").select("hub", "node").distinct(), texts, words, similarity), "links")
+    near = near_fingerprints(sets.select("node", "fp"))
+    pairs = persisted(bands.where("node <> hub").select("hub", "node").unionByName(near).distinct(), "pairs")
+    compared = bands.select("node").unionByName(pairs.select("node")).unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
+    wanted = persisted(sets.select("node", "first.row").join(compared, "node", "left_semi"), "wanted")
+    texts = persisted(each.select("row", F.coalesce("doc.text", F.lit("")).alias("text")).join(broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS), "row").select("node", "text"), "candidates")
+    links = persisted(_with_first(pairs, texts, words, similarity), "links")
     # bands that are still in several components; equal ones once
     named = bands.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     hashed = F.xxhash64("node").cast("decimal(38,0)")
@@ -157,15 +170,17 @@ def _grouped(documents: DataFrame, words: int, similarity: tuple[int, int]) -> t
 def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over pairs of at least this similarity)."""
     with scratch():
-        signed, joined = _grouped(documents, words, similarity)
+        signed, joined = _grouped(keyed(documents)[0], words, similarity)
         smallest = joined.groupBy("component").agg(F.min("first")["doc_id"].alias("component_id"))
         named = persisted(joined.join(smallest, "component").select("node", "component_id"), "named", keep=True)
-    return signed.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "node").join(named, "node").select("doc_id", "component_id")
+    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def representatives(documents: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Of each component the row with the smallest doc_id (of equal or no ids, one of them), with all its columns."""
+    each, _ = keyed(documents)
     with scratch():
-        signed, joined = _grouped(documents, words, similarity)
-        kept = persisted(joined.groupBy("component").agg(F.min("first")["row"].alias("row")).select("row"), "kept", keep=True)
-    return signed.select("row", "doc").join(kept, "row", "left_semi").select("doc.*")
+        signed, joined = _grouped(each, words, similarity)
+        kept = joined.groupBy("component").agg(F.min("first")["row"].alias("row")).select("row")
+        gone = persisted(signed.select("row").join(kept, "row", "left_anti"), "gone", keep=True)
+    return each.join(broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), "row", "left_anti").select("doc.*")

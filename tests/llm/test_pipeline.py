@@ -69,6 +69,53 @@ def test_near_duplicate_stage_equals_brute_force(spark, tmp_path):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(label))
 
 
+def test_near_duplicate_stage_takes_simhash_candidates(spark):
+    """Pairs within simhash.THRESHOLD bits, found by anchors, with no bands at all; and the fingerprints are majorities."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from factloom.llm import similar, simhash
+
+    rng = random.Random(5)
+    assert all(simhash.majority(np.array([simhash.xxhash.xxh64_intdigest(p.encode(), seed=simhash.SEED) for p in simhash.shingles(t)], dtype=np.uint64)) == simhash.fingerprint(t) for t in ("", "a b", "a b c d e f", "a a a a b"))
+    texts = [" ".join(f"d{k // 3}w{j}" for j in range(300)) + f" end{k}" for k in range(30)] + ["", "one two"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row long, text string").select("row", F.struct(F.col("row").alias("doc_id"), "text").alias("doc"))
+    rows = similar.signatures(docs).collect()
+    fps = {r["node"]: r["fp"] % (1 << 64) for r in rows}
+    fps |= {10**6 + k: rng.getrandbits(64) for k in range(20)}
+    fps |= {10**7 + k: fps[10**6 + k] ^ (1 << rng.randrange(64)) for k in range(20)} | {10**8: fps[10**6]}
+    got = {frozenset((r["hub"], r["node"])) for r in similar.near_fingerprints(spark.createDataFrame([(n, f - (f >> 63 << 64)) for n, f in fps.items()], "node long, fp long")).collect()}
+    wanted = {frozenset((a, b)) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.THRESHOLD}
+    joined = lambda pairs: {frozenset(c) for c in _components(pairs)}
+    assert joined(got) == joined(wanted) and len(wanted) > 22
+
+
+def _components(pairs):
+    at = {}
+    for a, b in map(tuple, pairs):
+        whole = at.get(a, {a}) | at.get(b, {b})
+        at |= dict.fromkeys(whole, whole)
+    return map(frozenset, at.values())
+
+
+def test_no_stage_leaves_copies_of_texts(spark, tmp_path, monkeypatch):
+    """With unique ids no scratch table that a stage leaves behind holds the texts again."""
+    import os
+
+    from factloom.llm import common
+
+    rng = random.Random(3)
+    noise = lambda: " ".join(f"{rng.getrandbits(60):x}" for _ in range(2000))
+    docs = spark.createDataFrame([(k, noise(), "en", "s", 1) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog today")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, size = spark.read.parquet(f"{tmp_path}/documents.parquet"), sum(f.stat().st_size for f in (tmp_path / "documents.parquet").iterdir())
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, docs, str(tmp_path)).count() == 40
+        assert sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "shared") for f in names) < size / 4
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     """Null, repeated and shared ids, null, empty and very long texts, clashing columns, and an empty table."""
     from pyspark.sql import functions as F
