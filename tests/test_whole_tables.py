@@ -1,5 +1,7 @@
 """Queries over whole tables, without a row, language or file limit."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +76,28 @@ def test_neighbours_of_all_symbols(spark):
         assert sorted(map(tuple, alone)) == sorted(tuple(r) for r in rows if r["target"] in ids) and len({r["target"] for r in rows}) > 3
 
 
+def test_traversal_of_all_equals_traversal(spark, monkeypatch):
+    """With caps that cut, all resolutions, types, parents, repeated ids, ids without a symbol, and small buckets."""
+    rng = random.Random(2)
+    ids = [f"s{k}" for k in range(60)]
+    symbols = [(i, f"f{rng.randrange(3)}" if k % 9 else None, rng.randrange(50), rng.choice([None, "gone", *ids])) for k, i in enumerate([*ids, *ids[:5]])]
+    s = spark.createDataFrame(symbols, "id string, file string, start_byte long, parent_id string")
+    uses = [(k, f"u{k}", rng.choice(["call", "type", "read"]), rng.choice([None, "gone", *ids[:20]])) for k in range(400)]
+    u = spark.createDataFrame(uses, "use_id long, file string, ref_kind string, containing_symbol string")
+    b = spark.createDataFrame([(k, rng.choice(["gone", *ids]), rng.choice(S.RESOLUTIONS)) for k in range(0, 400, 2)], "use_id long, target_id string, resolution string")
+    monkeypatch.setattr(plans.context, "_TOGETHER_HOPS", 7)
+    for most in (1, 4, 12, 1000):
+        wanted = plans.context.traversal(s, u, b, s.select("id").distinct(), most=most).collect()
+        got = plans.context.traversal_of_all(s, u.join(b, "use_id"), most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted)) and len(wanted) > 50
+
+
+def test_whole_traversal_shuffles_no_paths(spark):
+    """Its plan joins nothing by the two ends of a path; the rows that are dealt out are lists, names and targets."""
+    plan = plans.queries()["g09_all_traversal"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "second_degree" not in plan and "MapInArrow" in plan
+
+
 def test_ancestors_of_deep_chains(spark, monkeypatch):
     """A chain longer than any bound on levels, which would be lowered here to keep the test short."""
     monkeypatch.setattr(hierarchy, "MOST_LEVELS", 2, raising=False)
