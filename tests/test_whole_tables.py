@@ -98,6 +98,17 @@ def test_whole_traversal_shuffles_no_paths(spark):
     assert "second_degree" not in plan and "MapInArrow" in plan
 
 
+def test_whole_traversal_in_rounds(spark, monkeypatch):
+    """Shuffled a part at a time, with the same rows; the result reads what was written and shuffles nothing more."""
+    monkeypatch.setattr(plans.context, "_ROUND_ROWS", 2500)
+    assert len(B.linked(spark, DATA)) == 3
+    s, u, b = B.facts(spark, DATA)
+    got = plans.queries()["g09_all_traversal"](spark, DATA)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    wanted = plans.context.traversal(s, u, b, s.select("id")).collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted)) and len(wanted) > 1000
+
+
 def test_ancestors_of_deep_chains(spark, monkeypatch):
     """A chain longer than any bound on levels, which would be lowered here to keep the test short."""
     monkeypatch.setattr(hierarchy, "MOST_LEVELS", 2, raising=False)
